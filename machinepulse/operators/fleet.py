@@ -38,17 +38,21 @@ def _newest_health(readings: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def _latest_figures() -> list[Column]:
+def health_figures(health: str, status: str) -> list[Column]:
+    """Aggregates over one row per machine: mean health, status counts, machines."""
     return [
-        rounded(F.avg("now.health_pct"), 1).alias("avg_health"),
-        *_status_counts(F.col("now.health_status")),
+        rounded(F.avg(health), 1).alias("avg_health"),
+        *_status_counts(F.col(status)),
         F.count(F.lit(1)).alias("total_machines"),
     ]
 
 
+_LATEST_FIGURES = ("now.health_pct", "now.health_status")
+
+
 def kpi_latest(readings: DataFrame, period: Period = ALL_TIME) -> DataFrame:
     """One row over the newest reading of each machine."""
-    return _newest_health(readings, period).agg(*_latest_figures())
+    return _newest_health(readings, period).agg(*health_figures(*_LATEST_FIGURES))
 
 
 def kpi_anomaly_count(verdicts: DataFrame, period: Period = ALL_TIME) -> DataFrame:
@@ -73,7 +77,7 @@ def kpi_summary(
     The readings are scanned once: their number is the sum over the machines.
     """
     figures = _newest_health(readings, period).agg(
-        *_latest_figures(), F.sum("reading_count").alias("total_readings")
+        *health_figures(*_LATEST_FIGURES), F.sum("reading_count").alias("total_readings")
     )
     return figures.select(
         F.coalesce("avg_health", F.lit(0.0)).alias("avg_health"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from machinepulse.functions.numbers import number_text, shown
 from machinepulse.functions.periods import ALL_TIME, Period
 from machinepulse.functions.ranges import UNITS
-from machinepulse.operators.fleet import kpi_summary
+from machinepulse.operators.fleet import health_figures, kpi_anomaly_count, kpi_latest
 from machinepulse.operators.guide import guide_for_type, guide_type
 from machinepulse.operators.machines import fleet_rows
 from machinepulse.operators.turns import TURN_LIMIT, open_questions
@@ -38,20 +38,15 @@ def _lines(*parts: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def fleet_header(
-    readings: DataFrame, verdicts: DataFrame, period: Period = ALL_TIME
-) -> DataFrame:
-    """The fleet figures as one text, in one row."""
-    figures = kpi_summary(readings, verdicts, period)
-
+def _figures_text(figures: DataFrame, label: str) -> DataFrame:
     def count(name: str) -> Column:
         return F.col(name).cast("string")
 
     return figures.select(
         _lines(
-            F.lit(f"Fleet figures, {period.label}"),
+            F.lit(f"Fleet figures, {label}"),
             _labelled("Machines", count("total_machines")),
-            _labelled("Mean health %", number_text(F.col("avg_health"))),
+            _labelled("Mean health %", number_text(F.coalesce("avg_health", F.lit(0.0)))),
             F.concat(
                 _labelled("Healthy", count("healthy_count")),
                 _labelled(", warning", count("warning_count")),
@@ -62,19 +57,37 @@ def fleet_header(
     )
 
 
+def fleet_header(
+    readings: DataFrame, verdicts: DataFrame, period: Period = ALL_TIME
+) -> DataFrame:
+    """The fleet figures as one text, in one row."""
+    figures = kpi_latest(readings, period).withColumn(
+        "anomaly_count", kpi_anomaly_count(verdicts, period).scalar()
+    )
+    return _figures_text(figures, period.label)
+
+
 def fleet_context(
     readings: DataFrame, verdicts: DataFrame, period: Period = ALL_TIME
 ) -> DataFrame:
     """The fleet text as lines: section 0 the figures, section 1 a line per
     machine. Sorted by section, health and machine they read lowest health
-    first; `df.write.text` of the sorted lines is the whole text."""
-    header = fleet_header(readings, verdicts, period).select(
+    first; `df.write.text` of the sorted lines is the whole text.
+
+    Figures and lines come from the same rows per machine, whose shuffle Spark
+    then runs once.
+    """
+    rows = fleet_rows(readings, verdicts, period)
+    figures = rows.agg(*health_figures("health_order", "health_status")).withColumn(
+        "anomaly_count", kpi_anomaly_count(verdicts, period).scalar()
+    )
+    header = _figures_text(figures, period.label).select(
         F.lit(0).alias("section"),
         F.lit(None).cast("double").alias("health_order"),
         F.lit("").alias("machine_id"),
         F.col("fleet_text").alias("line"),
     )
-    machines = fleet_rows(readings, verdicts, period).select(
+    machines = rows.select(
         F.lit(1).alias("section"),
         "health_order",
         "machine_id",
@@ -224,19 +237,17 @@ def prompt_context(
     machine without readings in the period says so. The per-machine lines of
     the fleet are those of `fleet_context`.
     """
-    about = _with_guide(
-        machine_context(readings, verdicts, period), pages, machine_guides
-    ).select("machine_id", "context", "guide_text")
+    contexts = machine_context(readings, verdicts, period).drop("task_mode")
     asked = (
         open_questions(messages, TURN_LIMIT)
         .join(conversation_machines.select("conv_id", "machine_id"), "conv_id", "left")
-        .join(about, "machine_id", "left")
+        .join(contexts, "machine_id", "left")
     )
     unknown = F.concat(F.lit("No data for machine "), F.col("machine_id"))
     history = F.when(
         F.col("history") != "", F.concat(F.lit("Conversation so far\n"), F.col("history"))
     )
-    return asked.select(
+    return _with_guide(asked, pages, machine_guides).select(
         "conv_id",
         "machine_id",
         F.concat_ws(
@@ -244,7 +255,7 @@ def prompt_context(
             history,
             fleet_header(readings, verdicts, period).scalar(),
             F.coalesce("context", unknown),
-            _guide_part(),
+            F.when(F.col("context").isNotNull(), _guide_part()),
             F.concat(F.lit("Question: "), F.col("question")),
         ).alias("prompt"),
     )

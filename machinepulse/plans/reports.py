@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from machinepulse.functions import rules
 from machinepulse.functions.periods import ALL_TIME, Period
@@ -47,15 +47,27 @@ def with_rules(report: DataFrame) -> DataFrame:
 
 
 def recommendation_snapshot(report: DataFrame) -> DataFrame:
-    """The record handed on per machine, sensors nested, with its JSON form."""
-    record = report.select(
+    """The record handed on per machine, sensors nested, with its JSON form.
+
+    Numbers go through decimals, which JSON shows plainly (0.0002, 100).
+    """
+
+    def plain(name: str) -> Column:
+        return F.col(name).try_cast("decimal(28,4)").alias(name)
+
+    snapshot = F.struct(*[plain(name) for name in (*SENSORS, "health_pct")])
+    record = F.struct(
+        "machine_id",
+        "machine_type",
+        "is_anomaly",
+        plain("health_pct"),
+        snapshot.alias("sensor_snapshot"),
+    )
+    return report.select(
         "machine_id",
         "machine_type",
         "is_anomaly",
         "health_pct",
         F.struct(*SENSORS, "health_pct").alias("sensor_snapshot"),
-    )
-    whole = F.struct("machine_id", "machine_type", "is_anomaly", "health_pct", "sensor_snapshot")
-    return record.withColumn(
-        "record", F.to_json(whole, {"ignoreNullFields": "false"})
+        F.to_json(F.to_variant_object(record)).alias("record"),
     )

@@ -737,13 +737,15 @@ def _all_time() -> dict[str, str]:
             SELECT conv_id, count(*) AS turn_count,
                    string_agg(line, chr(10) || chr(10) ORDER BY turn) AS history
             FROM numbered_turns WHERE back <= 6 GROUP BY conv_id""",
-        "recommendation_snapshot": """
+        "recommendation_snapshot": f"""
             SELECT machine_id,
-                   CAST(to_json({'machine_id': machine_id, 'machine_type': machine_type,
-                        'is_anomaly': is_anomaly, 'health_pct': health_pct,
-                        'sensor_snapshot': {'temperature': temperature,
-                            'vibration': vibration, 'pressure': pressure,
-                            'health_pct': health_pct}}) AS VARCHAR) AS record
+                   concat('{{"health_pct":', {num('health_pct')},
+                          ',"is_anomaly":', coalesce(CAST(is_anomaly AS VARCHAR), 'null'),
+                          ',"machine_id":"', machine_id, '","machine_type":"', machine_type,
+                          '","sensor_snapshot":{{"health_pct":', {num('health_pct')},
+                          ',"pressure":', {num('pressure')},
+                          ',"temperature":', {num('temperature')},
+                          ',"vibration":', {num('vibration')}, '}}}}') AS record
             FROM reports""",
         "chart_blocks": """
             SELECT message_id, CAST(1 AS INT) AS block_no, lang,
