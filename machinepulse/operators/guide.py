@@ -147,23 +147,27 @@ def guide_page_list(readings: DataFrame) -> DataFrame:
 
 def _described(pages: DataFrame) -> DataFrame:
     """Length, first line and keywords of the used pages, without the text."""
-    content = F.coalesce("content", F.lit(""))
-    lower = F.lower(content)
+    texts = pages.filter(F.col("page").isin(*_USED_PAGES)).select(
+        "guide_id",
+        "page",
+        F.coalesce("content", F.lit("")).alias("content"),
+        F.lower(F.coalesce("content", F.lit(""))).alias("lowered"),
+    )
 
     def label_if(label: str, words: tuple[str, ...]) -> Column:
         hit = F.lit(False)
         for word in words:
-            hit = hit | F.contains(lower, F.lit(word))
+            hit = hit | F.contains("lowered", F.lit(word))
         return F.when(hit, F.lit(label))
 
     def labels(table: dict[str, tuple[str, ...]]) -> Column:
         return F.array_compact(F.array(*[label_if(*item) for item in table.items()]))
 
-    return pages.filter(F.col("page").isin(*_USED_PAGES)).select(
+    return texts.select(
         "guide_id",
         "page",
-        F.length(content).alias("char_count"),
-        F.substring(F.substring_index(content, "\n", 1), 1, LINE_LENGTH).alias("first_line"),
+        F.length("content").alias("char_count"),
+        F.substring(F.substring_index("content", "\n", 1), 1, LINE_LENGTH).alias("first_line"),
         labels({kind: (kind.replace("_", " "),) for kind in TYPE_PAGES}).alias("type_names"),
         labels(PAGE_KEYWORDS).alias("keywords"),
     )

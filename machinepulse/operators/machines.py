@@ -16,7 +16,7 @@ from machinepulse.functions.periods import (
 )
 from machinepulse.functions.rules import asset_state, count_true, rul_days, trend_direction
 from machinepulse.operators.latest import newest, ordered
-from machinepulse.schemas import SENSOR_FLAGS, SENSORS, VERDICT_FLAGS
+from machinepulse.schemas import READINGS, SENSOR_FLAGS, SENSORS, VERDICT_FLAGS
 
 # Decimals shown per measure.
 DIGITS = {
@@ -28,6 +28,9 @@ DIGITS = {
     "anomaly_score": 4,
 }
 MEASURES = (*SENSORS, "health_pct")
+READING_VALUES = tuple(
+    name for name in READINGS.names if name not in ("machine_id", "timestamp")
+)
 SHORT = {"temperature": "temp", "vibration": "vib", "pressure": "press", "health_pct": "health"}
 
 # The trend compares with the last reading at least this far back.
@@ -85,9 +88,8 @@ def by_health(df: DataFrame) -> DataFrame:
 def _assets(readings: DataFrame, verdicts: DataFrame, period: Period) -> DataFrame:
     selected = readings_in(readings, period)
     bound = selected.agg(F.max("timestamp")).scalar() - F.make_dt_interval(F.lit(TREND_DAYS))
-    columns = [name for name in readings.columns if name not in ("machine_id", "timestamp")]
     latest = selected.groupBy("machine_id").agg(
-        newest(columns).alias("now"),
+        newest(READING_VALUES).alias("now"),
         newest(["health_pct"], where=F.col("timestamp") <= bound).alias("past"),
     )
     judged = _newest_verdict(verdicts, period, None, *flag_counts(), *anomaly_span())
@@ -218,11 +220,10 @@ def asset_detail(
     """Newest reading and verdict per machine, each sensor's distance from its
     type's all-time mean in hundredths of a standard deviation, and remaining
     life."""
-    columns = [name for name in readings.columns if name not in ("machine_id", "timestamp")]
     latest = (
         readings_in(of_machine(readings, machine_id), period)
         .groupBy("machine_id")
-        .agg(newest(columns).alias("now"))
+        .agg(newest(READING_VALUES).alias("now"))
         .join(_newest_verdict(verdicts, period, machine_id), "machine_id", "left")
         .select("machine_id", "now.*", "verdict")
     )

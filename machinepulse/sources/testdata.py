@@ -12,6 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from machinepulse.schemas import GUIDE_PAGES, MESSAGES, READINGS, VERDICTS, conform
 from machinepulse.session import use_utc
 
+# Columns as stored; stating them spares the reader a look into the files.
+_EVENTS = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, "
+    "event_type string, value double, props string"
+)
+_DOCUMENTS = "doc_id bigint, text string"
+_CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
+
 _START = 1_704_067_200
 _PAGES_PER_GUIDE = 22
 _MACHINES_PER_GUIDE = 3
@@ -21,8 +29,12 @@ def _machine_id(number: Column) -> Column:
     return F.concat(F.lit("M"), F.lpad(number.cast("string"), 5, "0"))
 
 
+def _read(spark: SparkSession, sf_dir: str, table: str, schema: str) -> DataFrame:
+    return use_utc(spark).read.schema(schema).parquet(f"{sf_dir}/{table}.parquet")
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = use_utc(spark).read.parquet(f"{sf_dir}/events.parquet")
+    events = _read(spark, sf_dir, "events", _EVENTS)
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(_START * 1_000_000)
     return events.select(
         "event_id",
@@ -85,7 +97,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def guide_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the pages of guides of 22 pages each."""
     page = (F.col("doc_id") % _PAGES_PER_GUIDE + 1).cast("int")
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    table = _read(spark, sf_dir, "documents", _DOCUMENTS).select(
         F.call_function("div", F.col("doc_id"), F.lit(_PAGES_PER_GUIDE)).alias("guide_id"),
         page.alias("position"),
         page.alias("page"),
@@ -96,13 +108,13 @@ def guide_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(
-        spark.read.parquet(f"{sf_dir}/conversations.parquet"), MESSAGES, "messages"
+        _read(spark, sf_dir, "conversations", _CONVERSATIONS), MESSAGES, "messages"
     )
 
 
 def machine_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which guide applies to which machine: three machines share one."""
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    users = _read(spark, sf_dir, "events", _EVENTS).select("user_id").distinct()
     return users.select(
         _machine_id(F.col("user_id")).alias("machine_id"),
         F.call_function("div", F.col("user_id"), F.lit(_MACHINES_PER_GUIDE)).alias("guide_id"),
@@ -112,14 +124,14 @@ def machine_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which machine a conversation is about: the one of the same number."""
     conversations = (
-        spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
+        _read(spark, sf_dir, "conversations", _CONVERSATIONS).select("conv_id").distinct()
     )
     return conversations.select("conv_id", _machine_id(F.col("conv_id")).alias("machine_id"))
 
 
 def chart_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with a fenced block: charts, broken JSON, other languages."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = _read(spark, sf_dir, "events", _EVENTS)
     number = F.col("event_id")
     language = (
         F.when(number % 4 == 1, "json").when(number % 4 == 2, "sql").otherwise("chart")
