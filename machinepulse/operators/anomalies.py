@@ -14,7 +14,7 @@ from machinepulse.functions.periods import (
     verdicts_in,
 )
 from machinepulse.functions.rules import severity
-from machinepulse.operators.latest import matched, newest, newest_rows, ordered
+from machinepulse.operators.latest import latest_rows, matched, newest_rows, ordered
 from machinepulse.operators.machines import (
     DIGITS,
     FLAG_COUNTS,
@@ -212,7 +212,7 @@ def anomaly_events(
     """The newest anomalous verdicts of each machine."""
     events = newest_rows(
         verdicts_in(of_machine(verdicts, machine_id), period).filter("is_anomaly"),
-        "machine_id",
+        ["machine_id"],
         _limit(limit),
         ["timestamp", "anomaly_score", *VERDICT_FLAGS],
     ).select("machine_id", "timestamp", measure("anomaly_score"), *VERDICT_FLAGS)
@@ -233,7 +233,7 @@ def _anomalous_readings(
         own_verdicts.filter("is_anomaly"), own_readings, verdict_columns, reading_columns
     )
     return newest_rows(
-        events, "machine_id", _limit(limit), ["nanos", *verdict_columns, *reading_columns]
+        events, ["machine_id"], _limit(limit), ["nanos", *verdict_columns, *reading_columns]
     )
 
 
@@ -288,19 +288,15 @@ def anomaly_latest_reading(
     own_readings, own_verdicts = _both_in(readings, verdicts, period, machine_id)
     reading_columns = ["machine_type", *MEASURES, "health_status"]
     verdict_columns = ["anomaly_score", *VERDICT_FLAGS]
-    return (
-        matched(own_verdicts, own_readings, verdict_columns, reading_columns)
-        .groupBy("machine_id")
-        .agg(newest([*reading_columns, *verdict_columns]).alias("now"))
-        .select(
-            "machine_id",
-            "now.machine_type",
-            *[measure(name, f"now.{name}") for name in MEASURES],
-            "now.health_status",
-            measure("anomaly_score", "now.anomaly_score"),
-            *[F.col(f"now.{flag}").alias(flag) for flag in VERDICT_FLAGS],
-            "now.timestamp",
-        )
+    pairs = matched(own_verdicts, own_readings, verdict_columns, reading_columns)
+    return latest_rows(pairs, [*reading_columns, *verdict_columns]).select(
+        "machine_id",
+        "machine_type",
+        *[measure(name) for name in MEASURES],
+        "health_status",
+        measure("anomaly_score"),
+        *VERDICT_FLAGS,
+        "timestamp",
     )
 
 

@@ -15,7 +15,7 @@ from machinepulse.functions.periods import (
     whole_second_nanos,
 )
 from machinepulse.functions.rules import asset_state, count_true, rul_days, trend_direction
-from machinepulse.operators.latest import newest, ordered
+from machinepulse.operators.latest import latest_rows, newest, ordered
 from machinepulse.schemas import READINGS, SENSOR_FLAGS, SENSORS, VERDICT_FLAGS
 
 # Decimals shown per measure.
@@ -88,9 +88,14 @@ def by_health(df: DataFrame) -> DataFrame:
 def _assets(readings: DataFrame, verdicts: DataFrame, period: Period) -> DataFrame:
     selected = readings_in(readings, period)
     bound = selected.agg(F.max("timestamp")).scalar() - F.make_dt_interval(F.lit(TREND_DAYS))
-    latest = selected.groupBy("machine_id").agg(
+    # At most two rows per machine: its newest one since the bound and its
+    # newest one before. The later of them is the present.
+    ends = latest_rows(
+        selected.withColumn("is_past", F.col("timestamp") <= bound), READING_VALUES, "is_past"
+    )
+    latest = ends.groupBy("machine_id").agg(
         newest(READING_VALUES).alias("now"),
-        newest(["health_pct"], where=F.col("timestamp") <= bound).alias("past"),
+        newest(["health_pct"], where=F.col("is_past")).alias("past"),
     )
     judged = _newest_verdict(verdicts, period, None, *flag_counts(), *anomaly_span())
     return latest.join(judged, "machine_id", "left").select(
@@ -147,23 +152,21 @@ def focus_machine(
 
 def fleet_rows(readings: DataFrame, verdicts: DataFrame, period: Period) -> DataFrame:
     """`machine_overview` unsorted, with the health it is sorted by."""
-    latest = (
-        readings_in(readings, period)
-        .groupBy("machine_id")
-        .agg(newest(["machine_type", "health_pct", "health_status", *SENSORS]).alias("now"))
+    latest = latest_rows(
+        readings_in(readings, period), ["machine_type", "health_pct", "health_status", *SENSORS]
     )
     judged = _newest_verdict(
         verdicts, period, None, F.count_if("is_anomaly").alias("anomaly_history_count")
     )
     return latest.join(judged, "machine_id", "left").select(
         "machine_id",
-        "now.machine_type",
-        measure("health_pct", "now.health_pct"),
-        "now.health_status",
-        *[measure(name, f"now.{name}") for name in SENSORS],
+        "machine_type",
+        measure("health_pct"),
+        "health_status",
+        *[measure(name) for name in SENSORS],
         *[F.coalesce(f"verdict.{flag}", F.lit(False)).alias(flag) for flag in VERDICT_FLAGS],
         F.coalesce("anomaly_history_count", F.lit(0)).alias("anomaly_history_count"),
-        F.col("now.health_pct").alias("health_order"),
+        F.col("health_pct").alias("health_order"),
     )
 
 
@@ -181,23 +184,18 @@ def machine_snapshot(
     machine_id: str | None = None,
 ) -> DataFrame:
     """Newest reading and newest verdict per machine."""
-    latest = (
-        readings_in(of_machine(readings, machine_id), period)
-        .groupBy("machine_id")
-        .agg(
-            newest(
-                ["machine_type", *SENSORS, "health_pct", "health_status", "operational_time"]
-            ).alias("now")
-        )
+    latest = latest_rows(
+        readings_in(of_machine(readings, machine_id), period),
+        ["machine_type", *MEASURES, "health_status", "operational_time"],
     )
     return latest.join(
         _newest_verdict(verdicts, period, machine_id), "machine_id", "left"
     ).select(
         "machine_id",
-        "now.machine_type",
-        *[measure(name, f"now.{name}") for name in MEASURES],
-        "now.health_status",
-        "now.operational_time",
+        "machine_type",
+        *[measure(name) for name in MEASURES],
+        "health_status",
+        "operational_time",
         measure("anomaly_score", "verdict.anomaly_score"),
         *[F.col(f"verdict.{flag}").alias(flag) for flag in VERDICT_FLAGS],
     )
@@ -220,13 +218,9 @@ def asset_detail(
     """Newest reading and verdict per machine, each sensor's distance from its
     type's all-time mean in hundredths of a standard deviation, and remaining
     life."""
-    latest = (
-        readings_in(of_machine(readings, machine_id), period)
-        .groupBy("machine_id")
-        .agg(newest(READING_VALUES).alias("now"))
-        .join(_newest_verdict(verdicts, period, machine_id), "machine_id", "left")
-        .select("machine_id", "now.*", "verdict")
-    )
+    latest = latest_rows(
+        readings_in(of_machine(readings, machine_id), period), READING_VALUES
+    ).join(_newest_verdict(verdicts, period, machine_id), "machine_id", "left")
     baselines = type_baselines(readings)
 
     def deviation(sensor: str) -> Column:

@@ -84,7 +84,7 @@ def test_only_needed_columns_are_read(stored):
 def test_machines_are_reduced_before_the_shuffle(stored, no_broadcast):
     text = plan(machines.machine_snapshot(*stored))
     assert text.count("Exchange hashpartitioning(machine_id") == 2
-    assert text.count("partial_max(struct(") == 2
+    assert "row_number(), 1, Partial" in text and text.count("partial_max(struct(") == 1
 
 
 def test_matching_spreads_a_machine_over_its_times(stored, no_broadcast):
