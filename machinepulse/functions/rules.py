@@ -65,10 +65,10 @@ def rul_days(health: Column) -> Column:
 
 
 def priority(health: Column, is_anomaly: Column) -> Column:
-    """Urgent needs an anomaly on top of critical health."""
+    """Urgent needs an anomaly on top of critical health; null for a missing health."""
     calm = by_band(health, critical="High", borderline="High", warning="Medium", healthy="Low")
     urgent = (health < BORDERLINE_FROM) & F.coalesce(is_anomaly, F.lit(False))
-    return F.when(urgent, F.lit("Urgent")).otherwise(calm)
+    return F.when(urgent, F.lit("Urgent")).when(health.isNotNull(), calm)
 
 
 def trend_direction(trend: Column) -> Column:
@@ -105,7 +105,10 @@ def severity(ratio: Column) -> Column:
 
 
 def task_mode(is_anomaly: Column, health: Column, past_events: Column) -> Column:
-    """A: anomalous now. B: degraded or with a history. C: healthy."""
+    """A: anomalous now. B: degraded or with a history. C: healthy.
+
+    A missing health is not known to be good and counts as degraded.
+    """
     return report_format(is_anomaly, health, past_events, F.lit(0))
 
 
@@ -114,7 +117,7 @@ def report_format(
 ) -> Column:
     """`task_mode`, where a sensor outside its normal range also means B."""
     degraded = (
-        F.coalesce(health < HEALTHY_FROM, F.lit(False))
+        F.coalesce(health < HEALTHY_FROM, F.lit(True))
         | (F.coalesce(past_events, F.lit(0)) > 0)
         | (out_of_range > 0)
     )

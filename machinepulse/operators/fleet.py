@@ -92,11 +92,13 @@ def kpi_filtered(assets: DataFrame) -> DataFrame:
     """The figures over a (filtered) asset overview.
 
     Differs from `kpi_summary` on purpose: health is averaged from the rounded
-    values to a whole number, anomalies are machines whose newest verdict is
-    anomalous, and each machine counts as one reading.
+    values to a whole number and a missing one counts as 0, anomalies are
+    machines whose newest verdict is anomalous, and each machine counts as one
+    reading.
     """
+    mean = F.avg(F.coalesce("health_pct", F.lit(0.0)))
     return assets.agg(
-        F.coalesce(whole_half_up(F.avg("health_pct")), F.lit(0)).alias("avg_health"),
+        F.coalesce(whole_half_up(mean), F.lit(0)).alias("avg_health"),
         *_status_counts(F.col("health_status")),
         F.count(F.lit(1)).alias("total_machines"),
         F.count_if(F.col("is_anomaly")).alias("anomaly_count"),

@@ -299,7 +299,8 @@ def _span_steps(span: Span) -> dict[str, str]:
             LEFT JOIN histories h USING (machine_id)""",
         "modes": """
             SELECT *, CASE WHEN is_anomaly THEN 'A'
-                           WHEN health_pct < 80 OR anomaly_history_count > 0 THEN 'B'
+                           WHEN health_pct IS NULL OR health_pct < 80
+                                OR anomaly_history_count > 0 THEN 'B'
                            ELSE 'C' END AS task_mode
             FROM reports""",
         "contexts": f"""
@@ -517,7 +518,7 @@ def _all_time() -> dict[str, str]:
             CROSS JOIN (SELECT * FROM page_wanted WHERE guide_type <> 'other') w
             LEFT JOIN pages_of_guides p ON p.guide_id = g.guide_id AND p.page = w.page"""
     kpi_over_assets = """
-            SELECT CAST(coalesce(floor(avg(health_pct) + 0.5e0), 0) AS BIGINT) AS avg_health,
+            SELECT CAST(coalesce(floor(avg(coalesce(health_pct, 0)) + 0.5e0), 0) AS BIGINT) AS avg_health,
                    count(*) FILTER (health_status = 'HEALTHY') AS healthy_count,
                    count(*) FILTER (health_status = 'WARNING') AS warning_count,
                    count(*) FILTER (health_status = 'CRITICAL') AS critical_count,
@@ -696,7 +697,7 @@ def _all_time() -> dict[str, str]:
             SELECT machine_id, health_pct, is_anomaly,
                    CASE WHEN health_pct < 30 AND is_anomaly THEN 'Urgent'
                         WHEN health_pct < 55 THEN 'High' WHEN health_pct < 80 THEN 'Medium'
-                        ELSE 'Low' END AS priority FROM assets""",
+                        WHEN health_pct >= 80 THEN 'Low' END AS priority FROM assets""",
         "rul_days": """
             SELECT machine_id, health_pct,
                    CAST(CASE WHEN health_pct >= 80 OR health_pct IS NULL THEN 90

@@ -49,7 +49,7 @@ def test_priority(spark):
     assert mapped(spark, HEALTHS[1:], "double", anomalous) == [
         "Urgent", "Urgent", "High", "High", "Medium", "Medium", "Medium", "Low", "Low",
     ]
-    assert mapped(spark, HEALTHS[1:], "double", calm)[:2] == ["High", "High"]
+    assert mapped(spark, HEALTHS, "double", calm)[:3] == [None, "High", "High"]
 
 
 @pytest.mark.parametrize(
@@ -60,7 +60,7 @@ def test_priority(spark):
         (None, 80.0, 1, 0, "B", "B"),
         (False, 80.0, 0, 0, "C", "C"),
         (False, 80.0, 0, 1, "C", "B"),
-        (False, None, 0, 0, "C", "C"),
+        (False, None, 0, 0, "B", "B"),
         (False, 80.0, None, 0, "C", "C"),
     ],
 )

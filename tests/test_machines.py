@@ -173,6 +173,9 @@ def test_filtered_figures(spark):
     assert (row.healthy_count, row.warning_count, row.critical_count) == (1, 1, 1)
     none = only(fleet.kpi_filtered(machines.assets_filtered(overview, machine_type="x")))
     assert none.avg_health == 0 and none.total_machines == 0
+    r = readings(spark, reading("M1", health_pct=91.0), reading("M2", health_pct=None))
+    partly = machines.asset_overview(r, verdicts(spark, verdict()))
+    assert only(fleet.kpi_filtered(partly)).avg_health == 46
 
 
 def test_focus_prefers_anomalous_machines(spark):
