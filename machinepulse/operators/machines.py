@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from machinepulse.functions.numbers import rounded
+from machinepulse.functions.numbers import rounded, rounded_rows
 from machinepulse.functions.periods import (
     ALL_TIME,
     Period,
@@ -280,7 +280,7 @@ def asset_trend(
     points = series.join(flags, ["machine_id", "nanos"], "left").select(
         "machine_id",
         "timestamp",
-        *[measure(name) for name in MEASURES],
+        *[rounded_rows(F.col(name), DIGITS[name]).alias(name) for name in MEASURES],
         *VERDICT_FLAGS,
     )
     return ordered(points, machine_id, F.col("timestamp").asc())

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from machinepulse.functions import rules
-from machinepulse.functions.numbers import number_text, rounded, whole_half_up
+from machinepulse.functions.numbers import number_text, rounded, rounded_rows, whole_half_up
 from machinepulse.functions.ranges import (
     out_of_range_count,
     range_deviation,
@@ -101,6 +101,29 @@ def test_rounding_survives_values_beyond_the_decimal(spark):
     assert found[3] is None
 
 
+@settings(
+    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(st.data())
+def test_rounding_of_many_rows_is_the_same(spark, data):
+    ties = st.integers(-10**7, 10**7).map(lambda i: (2 * i + 1) / 2000)
+    values = data.draw(
+        st.lists(st.one_of(st.floats(-1e12, 1e12), st.floats(-2, 2), ties, st.none()),
+                 min_size=20, max_size=60)
+    )
+    for digits in (1, 2, 4):
+        exact = mapped(spark, values, "double", lambda x: rounded(x, digits))
+        quick = mapped(spark, values, "double", lambda x: rounded_rows(x, digits))
+        assert [repr(x) for x in quick] == [repr(x) for x in exact]
+
+
+def test_rounding_of_many_rows_handles_odd_values(spark):
+    values = [-0.0, -0.001, float("inf"), float("nan"), 1e300, 0.125, -0.125]
+    exact = mapped(spark, values, "double", lambda x: rounded(x, 2))
+    quick = mapped(spark, values, "double", lambda x: rounded_rows(x, 2))
+    assert [repr(x) for x in quick] == [repr(x) for x in exact]
+
+
 def test_whole_half_up(spark):
     assert mapped(spark, [0.4, 0.5, 1.5, 2.5, None], "double", whole_half_up) == [
         0, 1, 2, 3, None,
