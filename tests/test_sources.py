@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from machinepulse.functions.periods import Period
 from machinepulse.operators import anomalies, fleet, machines
+from machinepulse.plans import reports
 from machinepulse.schemas import READINGS, SchemaError, conform
 from machinepulse.sources import documents, facts, quality
 from tests.rows import at, nanos, only, reading, readings, verdict, verdicts
@@ -78,6 +79,14 @@ def test_sql_with_bound_values(spark):
     assert row.n == 5
 
 
+def test_results_can_be_stored_as_json(spark, tmp_path):
+    report = reports.machine_report(*history(spark))
+    reports.recommendation_snapshot(report).drop("record").write.json(str(tmp_path / "out"))
+    stored = spark.read.json(str(tmp_path / "out"))
+    assert {row.machine_id for row in stored.collect()} == {"M0", "M1", "M2"}
+    assert stored.select("sensor_snapshot.temperature").distinct().collect()[0][0] == 50.0
+
+
 def test_guide_documents(spark, tmp_path):
     for name, numbers in (("a", (5, 2)), ("b", (1,))):
         document = {

@@ -143,7 +143,9 @@ def test_machine_texts(spark):
 
 
 def guides(spark):
-    machine_guides = spark.createDataFrame([("M1", 1), ("M2", 9)], "machine_id string, guide_id long")
+    machine_guides = spark.createDataFrame(
+        [("M1", 1), ("M2", 9)], "machine_id string, guide_id long"
+    )
     return pages(spark, {12: "motors", 7: "flow"}), machine_guides
 
 
@@ -152,7 +154,10 @@ def test_recommendation_texts(spark):
     found = by(
         context.recommendation_context(*fleet(spark), p, machine_guides), "machine_id"
     )
-    assert "\n\nMaintenance guide\n--- Page 12 ---\nmotors\n\n--- Page 7 ---\nflow\n\nTask: explain the active anomaly" in found["M1"].prompt
+    assert (
+        "\n\nMaintenance guide\n--- Page 12 ---\nmotors\n\n--- Page 7 ---\nflow"
+        "\n\nTask: explain the active anomaly"
+    ) in found["M1"].prompt
     assert "Maintenance guide" not in found["M2"].prompt
     assert found["M2"].task_mode == "C" and "confirm normal operation" in found["M2"].prompt
 
