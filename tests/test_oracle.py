@@ -5,15 +5,17 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from machinepulse import catalog
 from machinepulse.functions.periods import Period
 from machinepulse.operators import anomalies, fleet, machines
 from machinepulse.sources import testdata
+from oracle import statements
 from tests.compare import duck, duck_rows, spark_rows
 from tests.rows import by, only
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-STATEMENTS = entry_points.oracle_sql()
+QUERIES = catalog.queries()
+STATEMENTS = statements.all_statements()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +25,8 @@ def connection():
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(STATEMENTS) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
