@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from machinepulse.llm import bpe, content_sort, language, statements, toxicity
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from machinepulse.llm import (
+    bpe,
+    content_sort,
+    decontaminate,
+    language,
+    secrets,
+    statements,
+    toxicity,
+    url_filter,
+)
 from machinepulse.llm.common import bucket, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +58,53 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe.decode(bpe.encode(docs, path), path))
 
 
+# The rules the query is asked for.
+RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secrets.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind))
+    return docs.select(
+        "doc_id",
+        *(count(kind).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def _joined(spans: Column) -> Column:
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(read(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """What op8 returns, from documents with ids and decoded."""
     return docs.select(
