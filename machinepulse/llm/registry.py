@@ -11,11 +11,13 @@ from machinepulse.llm import (
     bpe,
     content_sort,
     decontaminate,
+    html_density,
     language,
     secrets,
     statements,
     toxicity,
     url_filter,
+    warc,
 )
 from machinepulse.llm.common import bucket, read
 
@@ -23,6 +25,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_density.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_groups(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -58,6 +67,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe.decode(bpe.encode(docs, path), path))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(read(spark, sf_dir, "pages"))
+    page = lambda name: F.expr(f"try_cast(split({name}, ':')[2] AS bigint)")
+    return warc.read_archives(spark, manifest).select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 # The rules the query is asked for.
 RULES = [
     url_filter.Rule("allow", "com", "/"),

@@ -16,6 +16,38 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+OP5 = """
+WITH pages_ AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+),
+bits AS (
+    SELECT hex, array_to_string(list_transform(string_split(hex, ''), lambda c:
+        substr('0000000100100011010001010110011110001001101010111100110111101111',
+               (instr('0123456789abcdef', c) - 1) * 4 + 1, 4)), '') AS bits
+    FROM (SELECT DISTINCT hex FROM pages_)
+),
+digests AS (
+    SELECT hex, array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+            + 16 * CAST(substr(bits, i * 5 + 1, 1) AS INT)
+            + 8 * CAST(substr(bits, i * 5 + 2, 1) AS INT)
+            + 4 * CAST(substr(bits, i * 5 + 3, 1) AS INT)
+            + 2 * CAST(substr(bits, i * 5 + 4, 1) AS INT)
+            + CAST(substr(bits, i * 5 + 5, 1) AS INT), 1)), '') AS digest
+    FROM bits
+),
+placed AS (
+    SELECT page_id, payload, hex, row_number() OVER (PARTITION BY payload ORDER BY page_id) AS place,
+           min(page_id) OVER (PARTITION BY payload) AS first
+    FROM pages_
+)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN first END AS refers_to
+FROM placed JOIN digests USING (hex)
+"""
+
+
 def _op6() -> str:
     """Places from splitting by the pattern; every window's entropy counted anew."""
 
@@ -215,6 +247,7 @@ FROM docs LEFT JOIN hit USING (row) LEFT JOIN listed USING (row)
 def all_statements() -> dict[str, str]:
     return {
         "op3_content_sort": OP3,
+        "op5_warc": OP5,
         "op6_secrets": _op6(),
         "op9_url_filter": _op9(),
         "op10_decontaminate": OP10,
