@@ -11,8 +11,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from machinepulse.llm import bpe, content_sort, registry, toxicity
-from machinepulse.llm.common import read, rows_kept, scratch
+from machinepulse.llm import bpe, content_sort, decontaminate, ngram_join, registry, toxicity
+from machinepulse.llm.common import read, rows_kept, rows_without, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +31,24 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows_kept(docs, kept)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar word shingles the one with the smallest doc_id.
+
+    Documents without words are not linked, so all of them stay.
+    """
+    groups = ngram_join.near_duplicates(docs)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    names = docs.columns
+    wanted = kept.select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*names)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate.occurrences(docs, read(spark, sf_dir, "benchmark"))
+    return rows_without(docs, found)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text."""
     path = public_tokenizers.path(registry.TOKENIZER)
@@ -40,6 +58,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
     ("encode", encode),
 ]
 

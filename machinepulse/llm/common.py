@@ -87,6 +87,18 @@ def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return found.dropDuplicates(["doc_id", digest]).select(*names)
 
 
+def rows_without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of docs, all columns, whose (doc_id, 64-bit hash of text) is not in found.
+
+    found has columns id and version.
+    """
+    names = docs.columns
+    id_, version = _free("id", names), _free("version", names)
+    drop = found.select(F.col("id").alias(id_), F.col("version").alias(version)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(version))
+    return docs.join(drop, same, "left_anti").select(*names)
+
+
 def _free(name: str, taken: list[str]) -> str:
     """A column name that no column of the input has, in any case."""
     while name.lower() in {t.lower() for t in taken}:

@@ -49,6 +49,57 @@ def contamination(
     hits words but is not listed. Rows that repeat doc_id and text get equal
     results each. Other columns are not looked at. Empty tables are fine.
     """
+    found, owned = _found(docs, items, window, shingle)
+    # Windows of one document are at most as many as its words.
+    hits = found.groupBy("id", "version").agg(
+        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans")
+    )
+    listed = (
+        found.select("id", "version", "words")
+        .distinct()
+        .join(_small(owned.where("item is not null")), "words")
+        .groupBy("id", "version")
+        .agg(F.array_sort(F.collect_set(F.col("item"))).alias("item_ids"))
+    )
+    result = (
+        docs.select(
+            F.col("doc_id").alias("id"),
+            F.xxhash64("text").alias("version"),
+            F.size(words(F.col("text"))).cast("long").alias("n_words"),
+        )
+        .alias("d")
+        .join(
+            hits.join(listed, _same(hits, listed), "left").select(
+                hits["id"], hits["version"], "spans", "item_ids"
+            ).alias("h"),
+            F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.version") == F.col("h.version")),
+            "left",
+        )
+    )
+    return result.select(
+        F.col("d.id").alias("doc_id"),
+        "n_words",
+        F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        F.col("spans").isNotNull().alias("contaminated"),
+    )
+
+
+def occurrences(
+    docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3
+) -> DataFrame:
+    """(id, version, start, length, words) of every occurring window.
+
+    id is the doc_id and version the 64-bit hash of the text, which tells apart
+    rows that share an id.
+    """
+    return _found(docs, items, window, shingle)[0]
+
+
+def _found(
+    docs: DataFrame, items: DataFrame, window: int, shingle: int
+) -> tuple[DataFrame, DataFrame]:
     shingle = min(shingle, window)
     texts = docs.select(
         F.col("doc_id").alias("id"),
@@ -111,41 +162,7 @@ def contamination(
             here = _verified(_occurrences(texts, g), rarest.where(F.col("g") == g))
             found = here if found is None else found.unionByName(here)
     found = stored(found, "occurrences")
-
-    # Windows of one document are at most as many as its words.
-    hits = found.groupBy("id", "version").agg(
-        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans")
-    )
-    listed = (
-        found.select("id", "version", "words")
-        .distinct()
-        .join(_small(owned.where("item is not null")), "words")
-        .groupBy("id", "version")
-        .agg(F.array_sort(F.collect_set(F.col("item"))).alias("item_ids"))
-    )
-    result = (
-        docs.select(
-            F.col("doc_id").alias("id"),
-            F.xxhash64("text").alias("version"),
-            F.size(words(F.col("text"))).cast("long").alias("n_words"),
-        )
-        .alias("d")
-        .join(
-            hits.join(listed, _same(hits, listed), "left").select(
-                hits["id"], hits["version"], "spans", "item_ids"
-            ).alias("h"),
-            F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.version") == F.col("h.version")),
-            "left",
-        )
-    )
-    return result.select(
-        F.col("d.id").alias("doc_id"),
-        "n_words",
-        F.coalesce(_covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("spans", F.array().cast("array<struct<start:int,length:int>>")).alias("spans"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        F.col("spans").isNotNull().alias("contaminated"),
-    )
+    return found, owned
 
 
 def _same(left: DataFrame, right: DataFrame) -> Column:

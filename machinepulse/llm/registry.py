@@ -13,6 +13,7 @@ from machinepulse.llm import (
     decontaminate,
     html_density,
     language,
+    ngram_join,
     secrets,
     statements,
     toxicity,
@@ -32,6 +33,10 @@ def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_groups(read(spark, sf_dir, "documents"), keep="largest")
 
