@@ -25,6 +25,9 @@ PERIODS = {
 
 SMALL_LIMIT = 5
 
+# The form that shows one machine, for one that every scale factor has.
+ONE_MACHINE = "M00001"
+
 
 class Tables:
     """The input tables of one directory."""
@@ -43,6 +46,10 @@ def _overview(t: Tables, p: Period) -> DataFrame:
     return machines.asset_overview(t.readings, t.verdicts, p)
 
 
+def _assets(t: Tables, p: Period) -> DataFrame:
+    return machines.assets(t.readings, t.verdicts, p)
+
+
 def _stats(t: Tables, p: Period) -> DataFrame:
     return anomalies.anomaly_stats(t.readings, t.verdicts, p)
 
@@ -94,6 +101,15 @@ BY_PERIOD: dict[str, Build] = {
 # Queries registered over all time only.
 ALL_TIME_ONLY: dict[str, Build] = {
     "readings_per_machine": lambda t, p: fleet.readings_per_machine(t.readings),
+    "asset_detail_one": lambda t, p: machines.asset_detail(
+        t.readings, t.verdicts, p, machine_id=ONE_MACHINE
+    ),
+    "asset_trend_one": lambda t, p: machines.asset_trend(
+        t.readings, t.verdicts, p, machine_id=ONE_MACHINE
+    ),
+    "anomaly_history_one": lambda t, p: anomalies.anomaly_history(
+        t.readings, t.verdicts, p, machine_id=ONE_MACHINE
+    ),
     "anomaly_history_top5": lambda t, p: anomalies.anomaly_history(
         t.readings, t.verdicts, p, limit=SMALL_LIMIT
     ),
@@ -110,23 +126,23 @@ ALL_TIME_ONLY: dict[str, Build] = {
         _overview(t, p), machine_type="All", anomaly_only=True
     ),
     "kpi_filtered": lambda t, p: fleet.kpi_filtered(
-        machines.assets_filtered(_overview(t, p), machine_type="furnace")
+        machines.assets_filtered(_assets(t, p), machine_type="furnace")
     ),
-    "kpi_filtered_all": lambda t, p: fleet.kpi_filtered(_overview(t, p)),
+    "kpi_filtered_all": lambda t, p: fleet.kpi_filtered(_assets(t, p)),
     "focus_machine": lambda t, p: machines.focus_machine(t.readings, t.verdicts, p),
-    "active_sensor_flags": lambda t, p: machines.asset_states(_overview(t, p)).select(
+    "active_sensor_flags": lambda t, p: machines.asset_states(_assets(t, p)).select(
         "machine_id", "active_flags"
     ),
-    "asset_state": lambda t, p: machines.asset_states(_overview(t, p)),
-    "sensor_range_check": lambda t, p: sensors.sensor_range_check(_overview(t, p)),
-    "sensor_explanation": lambda t, p: sensors.sensor_explanation(_overview(t, p)),
-    "health_band": lambda t, p: _overview(t, p).select(
+    "asset_state": lambda t, p: machines.asset_states(_assets(t, p)),
+    "sensor_range_check": lambda t, p: sensors.sensor_range_check(_assets(t, p)),
+    "sensor_explanation": lambda t, p: sensors.sensor_explanation(_assets(t, p)),
+    "health_band": lambda t, p: _assets(t, p).select(
         "machine_id", "health_pct", health_band(F.col("health_pct")).alias("band")
     ),
     "status_from_health": lambda t, p: quality.status_conflicts(t.readings),
-    "trend_direction": lambda t, p: machines.trend_directions(_overview(t, p)),
+    "trend_direction": lambda t, p: machines.trend_directions(_assets(t, p)),
     "history_by_month": lambda t, p: anomalies.history_by_month(
-        anomalies.anomaly_history(t.readings, t.verdicts, p)
+        anomalies.anomaly_history(t.readings, t.verdicts, p, limit=None)
     ),
     "trend_markers": lambda t, p: machines.trend_markers(_trend(t, p)),
     "trend_labels": lambda t, p: machines.trend_labels(_trend(t, p)),
@@ -136,7 +152,7 @@ ALL_TIME_ONLY: dict[str, Build] = {
     "anomaly_type_share": lambda t, p: anomalies.anomaly_type_share(_stats(t, p)),
     "anomaly_vs_normal": lambda t, p: anomalies.anomaly_vs_normal(_stats(t, p)),
     "event_labels": lambda t, p: anomalies.event_labels(
-        anomalies.anomaly_recent(t.readings, t.verdicts, p)
+        anomalies.anomaly_recent(t.readings, t.verdicts, p, limit=None)
     ),
     "guide_pages": lambda t, p: t.guide_pages,
     "guide_for_type": lambda t, p: guide.guide_for_type(t.guide_pages),
@@ -149,13 +165,13 @@ ALL_TIME_ONLY: dict[str, Build] = {
     "guide_page_profile": lambda t, p: guide.guide_page_profile(t.guide_pages),
     "guide_size": lambda t, p: guide.guide_size(t.guide_pages),
     "period_label": lambda t, p: fleet.reading_periods(t.readings),
-    "priority": lambda t, p: _overview(t, p).select(
+    "priority": lambda t, p: _assets(t, p).select(
         "machine_id",
         "health_pct",
         "is_anomaly",
         priority(F.col("health_pct"), F.col("is_anomaly")).alias("priority"),
     ),
-    "rul_days": lambda t, p: machines.rul_table(_overview(t, p)),
+    "rul_days": lambda t, p: machines.rul_table(_assets(t, p)),
     "recommendation_context": lambda t, p: context.recommendation_context(
         t.readings, t.verdicts, t.guide_pages, t.machine_guides, p
     ),

@@ -7,6 +7,8 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from machinepulse.schemas import MONTH, YEAR
+
 # Month names as shown to users.
 MONTH_NAMES = (
     "Jan", "Feb", "Mar", "Apr", "May", "Jun",
@@ -89,10 +91,10 @@ def whole_second_nanos(timestamp: Column) -> Column:
 def _layout(df: DataFrame, period: Period) -> list[Column]:
     """Conditions on the year and month partition columns, where a table has them."""
     conditions = []
-    if period.year and "year" in df.columns:
-        conditions.append(F.col("year") == period.year)
-    if period.month and "month" in df.columns:
-        conditions.append(F.col("month") == period.month)
+    if period.year and YEAR in df.columns:
+        conditions.append(F.col(YEAR) == period.year)
+    if period.month and MONTH in df.columns:
+        conditions.append(F.col(MONTH) == period.month)
     return conditions
 
 

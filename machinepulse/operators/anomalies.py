@@ -25,6 +25,7 @@ from machinepulse.operators.machines import (
     measure,
 )
 from machinepulse.schemas import SENSOR_FLAGS, SENSORS, VERDICT_FLAGS
+from machinepulse.sources.facts import machine_table
 
 # Default lengths of the event lists, per machine.
 HISTORY_LIMIT = 500
@@ -32,8 +33,9 @@ EVENT_LIMIT = 50
 RECENT_LIMIT = 20
 
 
-def _limit(limit: int) -> int:
-    if limit < 1:
+def _limit(limit: int | None) -> int | None:
+    """None means no limit: counts are made of all events, lists of the newest."""
+    if limit is not None and limit < 1:
         raise ValueError(f"limit must be positive, got {limit}")
     return limit
 
@@ -50,10 +52,18 @@ def _both_in(
 
 
 def _for_all_machines(
-    stats: DataFrame, readings: DataFrame, machine_id: str | None, counts: tuple[str, ...]
+    stats: DataFrame,
+    readings: DataFrame,
+    machine_id: str | None,
+    counts: tuple[str, ...],
+    listed: DataFrame | None,
 ) -> DataFrame:
-    """Adds machines that have nothing to count, with zero counts."""
-    machines = of_machine(readings, machine_id).select("machine_id").distinct()
+    """Adds machines that have nothing to count, with zero counts.
+
+    They come from the machine table if there is one, else from all readings.
+    """
+    source = readings if listed is None else listed
+    machines = of_machine(source, machine_id).select("machine_id").distinct()
     others = [name for name in stats.columns if name not in ("machine_id", *counts)]
     return machines.join(stats, "machine_id", "left").select(
         "machine_id",
@@ -72,13 +82,17 @@ def _means(condition: Column, suffix: str) -> list[Column]:
 
 
 def anomaly_summary(
-    readings: DataFrame, verdicts: DataFrame, period: Period = ALL_TIME
+    readings: DataFrame,
+    verdicts: DataFrame,
+    period: Period = ALL_TIME,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """Machines with anomalous verdicts: counts, scores and last event, highest
     score first.
 
     Verdicts are reduced to one row per machine before the types are joined. A
     machine listed under two types appears under both, with the same figures.
+    `listed` is the machine table; without it the types come from all readings.
     """
     per_machine = (
         verdicts_in(verdicts, period)
@@ -92,7 +106,7 @@ def anomaly_summary(
         )
         .withColumnRenamed("anomaly_history_count", "anomaly_count")
     )
-    types = readings.select("machine_id", "machine_type").distinct()
+    types = machine_table(readings) if listed is None else listed
     return (
         per_machine.join(types, "machine_id")
         .select("machine_id", "machine_type", *per_machine.columns[1:])
@@ -132,6 +146,7 @@ def anomaly_stats(
     verdicts: DataFrame,
     period: Period = ALL_TIME,
     machine_id: str | None = None,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """Per machine, over readings that have a verdict: counts, share, scores,
     first and last anomaly, and mean sensor values in anomaly and normal
@@ -155,7 +170,7 @@ def anomaly_stats(
     )
     share = F.try_divide(F.col("anomaly_count") * 100.0, F.col("total_readings"))
     return (
-        _for_all_machines(stats, readings, machine_id, counts)
+        _for_all_machines(stats, readings, machine_id, counts, listed)
         .withColumnRenamed("anomaly_history_count", "anomaly_count")
         .withColumn("anomaly_pct", rounded(share, 2))
     )
@@ -207,7 +222,7 @@ def anomaly_events(
     verdicts: DataFrame,
     period: Period = ALL_TIME,
     machine_id: str | None = None,
-    limit: int = EVENT_LIMIT,
+    limit: int | None = EVENT_LIMIT,
 ) -> DataFrame:
     """The newest anomalous verdicts of each machine."""
     events = newest_rows(
@@ -224,7 +239,7 @@ def _anomalous_readings(
     verdicts: DataFrame,
     period: Period,
     machine_id: str | None,
-    limit: int,
+    limit: int | None,
     verdict_columns: tuple[str, ...],
     reading_columns: tuple[str, ...],
 ) -> DataFrame:
@@ -242,7 +257,7 @@ def anomaly_history(
     verdicts: DataFrame,
     period: Period = ALL_TIME,
     machine_id: str | None = None,
-    limit: int = HISTORY_LIMIT,
+    limit: int | None = HISTORY_LIMIT,
 ) -> DataFrame:
     """The newest anomalous verdicts of each machine with their readings."""
     events = _anomalous_readings(
@@ -256,7 +271,7 @@ def anomaly_recent(
     verdicts: DataFrame,
     period: Period = ALL_TIME,
     machine_id: str | None = None,
-    limit: int = RECENT_LIMIT,
+    limit: int | None = RECENT_LIMIT,
 ) -> DataFrame:
     """As `anomaly_history`, shorter, with score and status."""
     events = _anomalous_readings(
@@ -323,10 +338,11 @@ def machine_anomaly_history(
     verdicts: DataFrame,
     period: Period = ALL_TIME,
     machine_id: str | None = None,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """`flagged_history` for every machine, zero counts included."""
     history = flagged_history(readings, verdicts, period, machine_id)
-    return _for_all_machines(history, readings, machine_id, FLAG_COUNTS)
+    return _for_all_machines(history, readings, machine_id, FLAG_COUNTS, listed)
 
 
 def history_by_month(history: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from machinepulse.functions.periods import (
     readings_in,
     verdicts_in,
 )
-from machinepulse.operators.latest import newest
+from machinepulse.operators.latest import latest_rows
 
 # The statuses that are counted; BORDERLINE is not among them, so
 # the three counts need not add up to the number of machines.
@@ -27,15 +27,9 @@ def _status_counts(status: Column) -> list[Column]:
 
 
 def _newest_health(readings: DataFrame, period: Period) -> DataFrame:
-    """One row per machine: newest health and number of readings."""
-    return (
-        readings_in(readings, period)
-        .groupBy("machine_id")
-        .agg(
-            newest(["health_pct", "health_status"]).alias("now"),
-            F.count(F.lit(1)).alias("reading_count"),
-        )
-    )
+    """One row per machine: its newest health. A limited window keeps one row per
+    machine and task, without comparing structs under a sorted aggregate."""
+    return latest_rows(readings_in(readings, period), ["health_pct", "health_status"])
 
 
 def health_figures(health: str, status: str) -> list[Column]:
@@ -47,7 +41,7 @@ def health_figures(health: str, status: str) -> list[Column]:
     ]
 
 
-_LATEST_FIGURES = ("now.health_pct", "now.health_status")
+_LATEST_FIGURES = ("health_pct", "health_status")
 
 
 def kpi_latest(readings: DataFrame, period: Period = ALL_TIME) -> DataFrame:
@@ -74,17 +68,15 @@ def kpi_summary(
 ) -> DataFrame:
     """The three figures above in one row, zeros for an empty period.
 
-    The readings are scanned once: their number is the sum over the machines.
+    Their number is counted apart: it needs no column beyond the period's.
     """
-    figures = _newest_health(readings, period).agg(
-        *health_figures(*_LATEST_FIGURES), F.sum("reading_count").alias("total_readings")
-    )
+    figures = kpi_latest(readings, period)
     return figures.select(
         F.coalesce("avg_health", F.lit(0.0)).alias("avg_health"),
         *[f"{name.lower()}_count" for name in COUNTED_STATUSES],
         "total_machines",
         kpi_anomaly_count(verdicts, period).scalar().alias("anomaly_count"),
-        F.coalesce("total_readings", F.lit(0)).alias("total_readings"),
+        kpi_reading_count(readings, period).scalar().alias("total_readings"),
     )
 
 

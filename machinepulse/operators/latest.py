@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from machinepulse.schemas import EVENT_TIME
 from machinepulse.sources.facts import with_event_time
 
 
@@ -21,19 +22,41 @@ def newest(columns: Sequence[str], where: Column | None = None) -> Column:
     return F.max(row if where is None else F.when(where, row))
 
 
+# Pieces of a group that are cut to the limit on their own.
+_PIECES = 64
+
+
 def newest_rows(
-    df: DataFrame, group: Sequence[str], limit: int, order: Sequence[str]
+    df: DataFrame,
+    group: Sequence[str],
+    limit: int | None,
+    order: Sequence[str],
+    large_groups: bool = True,
 ) -> DataFrame:
-    """The `limit` newest rows of each group.
-
-    Spark applies the limit before the shuffle as well as after, so a group
-    sends at most `limit` rows per task.
+    """The `limit` newest rows of each group; None leaves all of them.
+
+    More than one row per group is found in two steps, first in hashed pieces
+    of a group and then among what the pieces kept, so that a group sends at
+    most `limit` rows per piece to one task, whatever the limit and however
+    many tasks read it. Spark's own cut before the shuffle, which holds for
+    small limits only, comes on top. Without `large_groups` the first step is
+    left out.
     """
+    if limit is None:
+        return df
+    if limit > 1 and large_groups:
+        piece = F.pmod(F.xxhash64(*order), F.lit(_PIECES))
+        pieces = df.withColumn("machinepulse_piece", piece)
+        df = _cut(pieces, [*group, "machinepulse_piece"], limit, order).drop("machinepulse_piece")
+    return _cut(df, group, limit, order)
+
+
+def _cut(df: DataFrame, group: Sequence[str], limit: int, order: Sequence[str]) -> DataFrame:
     window = Window.partitionBy(*group).orderBy(*[F.col(name).desc_nulls_last() for name in order])
     return (
-        df.withColumn("place", F.row_number().over(window))
-        .filter(F.col("place") <= limit)
-        .drop("place")
+        df.withColumn("machinepulse_place", F.row_number().over(window))
+        .filter(F.col("machinepulse_place") <= limit)
+        .drop("machinepulse_place")
     )
 
 
@@ -61,7 +84,7 @@ def matched(
     """
     timed = with_event_time(verdicts).select(
         "machine_id",
-        F.col("event_time").alias("timestamp"),
+        F.col(EVENT_TIME).alias("timestamp"),
         F.col("timestamp").alias("nanos"),
         *verdict_columns,
     )

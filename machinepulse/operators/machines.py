@@ -119,6 +119,11 @@ def _assets(readings: DataFrame, verdicts: DataFrame, period: Period) -> DataFra
     )
 
 
+def assets(readings: DataFrame, verdicts: DataFrame, period: Period = ALL_TIME) -> DataFrame:
+    """`asset_overview` in no order, for whatever is derived from it."""
+    return _assets(readings, verdicts, period).drop("health_order")
+
+
 def asset_overview(
     readings: DataFrame, verdicts: DataFrame, period: Period = ALL_TIME
 ) -> DataFrame:

@@ -23,7 +23,9 @@ def _last_turns(messages: DataFrame, count: int) -> DataFrame:
     """Per conversation an ordered array of its last turns; the count bounds it."""
     turn = F.struct("turn", "role", "text")
     return (
-        newest_rows(messages, ["conv_id"], count, ["turn", "role", "text"])
+        newest_rows(
+            messages, ["conv_id"], count, ["turn", "role", "text"], large_groups=False
+        )
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     )

@@ -183,10 +183,15 @@ def machine_context(
 
 
 def _with_guide(contexts: DataFrame, pages: DataFrame, machine_guides: DataFrame) -> DataFrame:
-    """Adds the guide text for the type of each machine."""
+    """Adds the guide text for the type of each machine.
+
+    A machine that is given several guides has the first by id, so that no
+    prompt comes twice.
+    """
+    guides = machine_guides.groupBy("machine_id").agg(F.min("guide_id").alias("guide_id"))
     return (
         contexts.withColumn("guide_type", guide_type(F.col("machine_type")))
-        .join(machine_guides.select("machine_id", "guide_id"), "machine_id", "left")
+        .join(guides, "machine_id", "left")
         .join(
             guide_for_type(pages).select("guide_id", "guide_type", "guide_text"),
             ["guide_id", "guide_type"],
@@ -236,13 +241,19 @@ def prompt_context(
     A conversation about no machine has neither context nor guide; one about a
     machine without readings in the period says so. The per-machine lines of
     the fleet are those of `fleet_context`.
+
+    Only the machines that are asked about are computed. A conversation that is
+    given several machines is about the first by id.
     """
-    contexts = machine_context(readings, verdicts, period).drop("task_mode")
-    asked = (
-        open_questions(messages, TURN_LIMIT)
-        .join(conversation_machines.select("conv_id", "machine_id"), "conv_id", "left")
-        .join(contexts, "machine_id", "left")
-    )
+    about = conversation_machines.groupBy("conv_id").agg(F.min("machine_id").alias("machine_id"))
+    questions = open_questions(messages, TURN_LIMIT).join(about, "conv_id", "left")
+    wanted = questions.select("machine_id").distinct()
+    contexts = machine_context(
+        readings.join(wanted, "machine_id", "left_semi"),
+        verdicts.join(wanted, "machine_id", "left_semi"),
+        period,
+    ).drop("task_mode")
+    asked = questions.join(contexts, "machine_id", "left")
     unknown = F.concat(F.lit("No data for machine "), F.col("machine_id"))
     history = F.when(
         F.col("history") != "", F.concat(F.lit("Conversation so far\n"), F.col("history"))

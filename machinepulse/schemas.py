@@ -52,6 +52,12 @@ MESSAGES = T.StructType(
     ]
 )
 
+# What the writers add to stored tables. Sources do not use these names, so a
+# source's own `year` or `event_time` is never taken for them.
+YEAR, MONTH = "machinepulse_year", "machinepulse_month"
+EVENT_TIME = "machinepulse_event_time"
+LAYOUT = (YEAR, MONTH, EVENT_TIME)
+
 SENSORS = ("temperature", "vibration", "pressure")
 SENSOR_FLAGS = tuple(f"is_{sensor}_anomaly" for sensor in SENSORS)
 VERDICT_FLAGS = ("is_anomaly", *SENSOR_FLAGS)
@@ -62,8 +68,9 @@ class SchemaError(ValueError):
 
 
 def conform(df: DataFrame, schema: T.StructType, table: str) -> DataFrame:
-    """The declared columns, in order, plus whatever layout columns follow.
+    """The declared columns, in order, plus the layout columns of stored tables.
 
+    Any other column is dropped, so that it cannot clash with computed ones.
     Zone-less timestamps are taken as UTC; any other type difference and any
     missing column raise before a job starts.
     """
@@ -86,5 +93,5 @@ def conform(df: DataFrame, schema: T.StructType, table: str) -> DataFrame:
                     f"found {actual.simpleString()}"
                 )
         columns.append(column)
-    extra = [F.col(name) for name in df.columns if name not in schema.names]
+    extra = [F.col(name) for name in df.columns if name in LAYOUT]
     return df.select(*columns, *extra)

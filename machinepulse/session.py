@@ -6,7 +6,11 @@ from pyspark.sql import SparkSession
 
 # Calendar functions (month, date_format) follow the session zone, and all
 # timestamps of the package are UTC.
-REQUIRED = {"spark.sql.session.timeZone": "UTC"}
+# A JSON object that repeats a key is read as its last value.
+REQUIRED = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
 
 # Adaptive execution picks broadcast joins from measured sizes, splits skewed
 # join partitions and merges small ones; nothing in the package forces a

@@ -18,17 +18,22 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from machinepulse.functions.periods import nanos_to_timestamp
-from machinepulse.schemas import READINGS, VERDICTS, conform
+from machinepulse.schemas import EVENT_TIME, MONTH, READINGS, VERDICTS, YEAR, conform
 from machinepulse.session import use_utc
 
-LAYOUT = ("year", "month")
 _TIMESTAMP_TYPE = "spark.sql.parquet.outputTimestampType"
 
 
 def read_readings(
     spark: SparkSession, path: str | None = None, fmt: str = "parquet", **options: str
 ) -> DataFrame:
-    """Sensor readings from any source Spark can read."""
+    """Sensor readings from any source Spark can read.
+
+    Columns and types are checked here; that no machine or time is null is
+    checked by the writers and by `quality.require_times`, which a job that
+    reads an unchecked source runs first. A check in this place would keep
+    filters from reaching the source.
+    """
     raw = use_utc(spark).read.format(fmt).options(**options).load(path)
     return conform(raw, READINGS, "readings")
 
@@ -49,9 +54,9 @@ def register_views(readings: DataFrame, verdicts: DataFrame) -> None:
 
 def with_event_time(verdicts: DataFrame) -> DataFrame:
     """Verdicts with their instant as a timestamp, unless stored that way."""
-    if "event_time" in verdicts.columns:
+    if EVENT_TIME in verdicts.columns:
         return verdicts
-    return verdicts.withColumn("event_time", nanos_to_timestamp(F.col("timestamp")))
+    return verdicts.withColumn(EVENT_TIME, nanos_to_timestamp(F.col("timestamp")))
 
 
 def _required(name: str, table: str) -> Column:
@@ -81,11 +86,11 @@ def _microsecond_files(spark: SparkSession) -> Iterator[None]:
 def _write(df: DataFrame, time: str, path: str, mode: str, files: int | None) -> None:
     laid_out = df.withColumns(
         {
-            "year": F.year(F.col(time)).cast("int"),
-            "month": F.month(F.col(time)).cast("int"),
+            YEAR: F.year(F.col(time)).cast("int"),
+            MONTH: F.month(F.col(time)).cast("int"),
         }
     )
-    keys = (*LAYOUT, "machine_id", time)
+    keys = (YEAR, MONTH, "machine_id", time)
     ranged = (
         laid_out.repartitionByRange(files, *keys)
         if files
@@ -95,7 +100,7 @@ def _write(df: DataFrame, time: str, path: str, mode: str, files: int | None) ->
         (
             ranged.sortWithinPartitions(*keys)
             .write.mode(mode)
-            .partitionBy(*LAYOUT)
+            .partitionBy(YEAR, MONTH)
             .parquet(path)
         )
 
@@ -107,12 +112,30 @@ def write_readings(
     _write(_checked(readings, "readings"), "timestamp", path, mode, files)
 
 
+def machine_table(readings: DataFrame) -> DataFrame:
+    """The distinct (machine_id, machine_type) of the readings."""
+    return readings.select("machine_id", "machine_type").distinct()
+
+
+def write_machines(readings: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store the machine table beside the facts.
+
+    Operators that list all machines take it, and then read no reading outside
+    their period; without it they derive it from all readings.
+    """
+    machine_table(readings).write.mode(mode).parquet(path)
+
+
+def read_machines(spark: SparkSession, path: str) -> DataFrame:
+    return use_utc(spark).read.parquet(path).select("machine_id", "machine_type")
+
+
 def write_verdicts(
     verdicts: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None
 ) -> None:
     """Store verdicts by period, with their instant beside the nanoseconds."""
     checked = with_event_time(_checked(verdicts, "verdicts"))
-    _write(checked, "event_time", path, mode, files)
+    _write(checked, EVENT_TIME, path, mode, files)
 
 
 def save_for_matching(
@@ -125,12 +148,14 @@ def save_for_matching(
 ) -> None:
     """Store both as catalog tables bucketed on the matching key.
 
+    They land in the session's warehouse, which on a cluster must be storage
+    that all executors share.
     One file per bucket; choose `buckets` so that one holds a few GB at most.
     """
     timed = with_event_time(_checked(verdicts, "verdicts"))
     for df, time, table in (
         (_checked(readings, "readings"), "timestamp", readings_table),
-        (timed, "event_time", verdicts_table),
+        (timed, EVENT_TIME, verdicts_table),
     ):
         with _microsecond_files(df.sparkSession):
             (

@@ -26,7 +26,10 @@ _MACHINES_PER_GUIDE = 3
 
 
 def _machine_id(number: Column) -> Column:
-    return F.concat(F.lit("M"), F.lpad(number.cast("string"), 5, "0"))
+    """At least five digits; lpad alone would cut longer numbers and merge machines."""
+    digits = number.cast("string")
+    width = F.greatest(F.lit(5), F.length(digits))
+    return F.concat(F.lit("M"), F.lpad(digits, width, F.lit("0")))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, schema: str) -> DataFrame:
@@ -130,7 +133,7 @@ def conversation_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chart_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages with a fenced block: charts, broken JSON, other languages."""
+    """Messages with fenced blocks: charts, broken JSON, other languages, a quote."""
     events = _read(spark, sf_dir, "events", _EVENTS)
     number = F.col("event_id")
     language = (
@@ -139,6 +142,14 @@ def chart_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = (
         F.when(number % 4 == 3, "{broken")
         .when(number % 8 == 1, '{"type":"bar","data":[{"name":"a","v":1}]}')
+        .when(
+            number % 8 == 4,
+            F.concat(
+                F.lit('{"type":"pie","data":[{"name":"a","v":'),
+                F.col("user_id").cast("string"),
+                F.lit('},{"name":"b","v":3}],"colors":["#111111"],"xKey":"name","yKey":"v"}'),
+            ),
+        )
         .otherwise(
             F.concat(
                 F.lit('{"type":"bar","data":[{"name":"'),
@@ -152,6 +163,18 @@ def chart_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(
         number.alias("message_id"),
         F.concat(
-            F.lit("Report\n```"), language, F.lit("\n"), body, F.lit("\n```\nend")
+            F.lit("Report\n```"),
+            language,
+            F.lit("\n"),
+            body,
+            F.lit("\n```\nend"),
+            # A second block, quoted and fenced with tildes.
+            F.when(
+                number % 8 == 0,
+                F.lit(
+                    '\n> ~~~json\n> {"type":"line","type":"area","data":[],'
+                    '"xKey":"t","yKey":"v"}\n> ~~~'
+                ),
+            ).otherwise(""),
         ).alias("text"),
     )

@@ -17,7 +17,7 @@ _STEPS: dict[str, str] = {
                1704067200 + ((epoch_us(ts) - 1704067200000000) * 24) // 1000000 AS ts_s
         FROM events""",
     "readings": """
-        SELECT concat('M', lpad(CAST(user_id AS VARCHAR), 5, '0')) AS machine_id,
+        SELECT concat('M', lpad(CAST(user_id AS VARCHAR), CAST(greatest(5, length(CAST(user_id AS VARCHAR))) AS INT), '0')) AS machine_id,
                CASE user_id % 4 WHEN 0 THEN 'furnace' WHEN 1 THEN 'conveyor'
                                 WHEN 2 THEN 'motor' ELSE 'slurry_pump' END AS machine_type,
                make_timestamp(ts_s * 1000000) AS ts,
@@ -35,7 +35,7 @@ _STEPS: dict[str, str] = {
                abs(value - 50.0e0) / 50.0e0 * 100.0e0 AS avg_deviation_pct
         FROM event_base""",
     "verdicts": """
-        SELECT concat('M', lpad(CAST(user_id AS VARCHAR), 5, '0')) AS machine_id,
+        SELECT concat('M', lpad(CAST(user_id AS VARCHAR), CAST(greatest(5, length(CAST(user_id AS VARCHAR))) AS INT), '0')) AS machine_id,
                ts_s * 1000000000 AS ns,
                make_timestamp(ts_s * 1000000) AS ts,
                value / (value + 100.0e0) AS anomaly_score,
@@ -53,6 +53,9 @@ _STEPS: dict[str, str] = {
                CASE event_id % 4 WHEN 1 THEN 'json' WHEN 2 THEN 'sql' ELSE 'chart' END AS lang,
                CASE WHEN event_id % 4 = 3 THEN '{broken'
                     WHEN event_id % 8 = 1 THEN '{"type":"bar","data":[{"name":"a","v":1}]}'
+                    WHEN event_id % 8 = 4 THEN concat('{"type":"pie","data":[{"name":"a","v":',
+                        CAST(user_id AS VARCHAR),
+                        '},{"name":"b","v":3}],"colors":["#111111"],"xKey":"name","yKey":"v"}')
                     ELSE concat('{"type":"bar","data":[{"name":"', event_type, '","v":',
                                 CAST(user_id AS VARCHAR), '}],"xKey":"name","yKey":"v"}')
                END AS body,
@@ -318,7 +321,7 @@ def _span_steps(span: Span) -> dict[str, str]:
         "guided": """
             SELECT c.*, g.guide_text
             FROM contexts c
-            LEFT JOIN (SELECT DISTINCT concat('M', lpad(CAST(user_id AS VARCHAR), 5, '0'))
+            LEFT JOIN (SELECT DISTINCT concat('M', lpad(CAST(user_id AS VARCHAR), CAST(greatest(5, length(CAST(user_id AS VARCHAR))) AS INT), '0'))
                               AS machine_id, user_id // 3 AS guide_id FROM events) a
                    USING (machine_id)
             LEFT JOIN guide_texts g
@@ -602,7 +605,7 @@ def _all_time() -> dict[str, str]:
         "history_by_month": f"""
             SELECT machine_id, strftime(timestamp, '%Y-%m') AS event_month,
                    count(*) AS event_count, strftime(max(timestamp), '%b %Y') AS month_label
-            FROM ({history} {newest} <= 500) GROUP BY machine_id, event_month""",
+            FROM ({history}) GROUP BY machine_id, event_month""",
         "trend_markers": """
             SELECT machine_id, timestamp, health_pct FROM trend WHERE is_anomaly""",
         "trend_labels": """
@@ -644,7 +647,7 @@ def _all_time() -> dict[str, str]:
         "event_labels": f"""
             SELECT machine_id, ts AS timestamp, strftime(ts, '%Y-%m-%d %H:%M') AS minute_label,
                    strftime(ts, '%Y-%m-%d') AS day_label
-            FROM matches WHERE is_anomaly {newest} <= 20""",
+            FROM matches WHERE is_anomaly""",
         "guide_pages": """
             SELECT guide_id, page AS position, page, content FROM pages_of_guides""",
         "guide_for_type": """
@@ -727,7 +730,7 @@ def _all_time() -> dict[str, str]:
                        CASE WHEN c.guide_text <> ''
                             THEN concat('Maintenance guide', chr(10), c.guide_text) END,
                        'Question: ' || q.text) AS prompt
-            FROM (SELECT *, concat('M', lpad(CAST(conv_id AS VARCHAR), 5, '0')) AS machine_id
+            FROM (SELECT *, concat('M', lpad(CAST(conv_id AS VARCHAR), CAST(greatest(5, length(CAST(conv_id AS VARCHAR))) AS INT), '0')) AS machine_id
                   FROM numbered_turns WHERE back = 1 AND role = 'user') q
             LEFT JOIN (SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY turn)
                               AS history
@@ -759,15 +762,22 @@ def _all_time() -> dict[str, str]:
                          regexp_extract(text, '(?s)```\\w+\\n(.*)\\n```', 1) AS body
                   FROM chart_messages)
             WHERE lang IN ('chart', 'json') AND json_valid(body)
-              AND x_key <> '' AND y_key <> ''""",
+              AND x_key <> '' AND y_key <> ''
+            UNION ALL
+            SELECT message_id, CAST(2 AS INT), 'json', 'area', NULL, 't', 'v', CAST(0 AS BIGINT)
+            FROM chart_messages WHERE message_id % 8 = 0""",
         "chart_points": """
-            SELECT message_id, CAST(1 AS INT) AS block_no, CAST(1 AS INT) AS point_no,
-                   json_extract_string(body, '$.data[0].name') AS label,
-                   json_extract_string(body, '$.data[0].v') AS value_text,
-                   CAST(json_extract_string(body, '$.data[0].v') AS DOUBLE) AS value,
-                   '#6366f1' AS color
-            FROM chart_messages
-            WHERE lang IN ('chart', 'json') AND json_valid(body)
+            SELECT message_id, CAST(1 AS INT) AS block_no, CAST(i + 1 AS INT) AS point_no,
+                   point ->> '$.name' AS label, point ->> '$.v' AS value_text,
+                   CAST(point ->> '$.v' AS DOUBLE) AS value,
+                   CASE WHEN message_id % 8 = 4 THEN CAST(floor(CAST(point ->> '$.v' AS DOUBLE)
+                       * 100 / (CAST(body ->> '$.data[0].v' AS DOUBLE) + 3) + 0.5) AS BIGINT)
+                       END AS share_pct,
+                   CASE WHEN message_id % 8 = 4 THEN '#111111' ELSE '#6366f1' END AS color
+            FROM (SELECT message_id, lang, body, i, json_extract(body, '$.data[' || i || ']') AS point
+                  FROM chart_messages, (VALUES (0), (1)) AS t(i)
+                  WHERE json_valid(body))
+            WHERE point IS NOT NULL AND lang IN ('chart', 'json') AND json_valid(body)
               AND json_extract_string(body, '$.xKey') <> ''""",
     }
 
@@ -778,6 +788,9 @@ def all_statements() -> dict[str, str]:
     for suffix, span in SPANS.items():
         for name, select in _by_period(span).items():
             found[f"{name}{suffix}"] = statement(select, span)
+    for name in ("asset_detail", "asset_trend", "anomaly_history"):
+        one = f"SELECT * FROM ({_by_period(Span())[name]}) WHERE machine_id = 'M00001'"
+        found[f"{name}_one"] = statement(one)
     for name, select in _all_time().items():
         found[name] = statement(select)
     return found

@@ -171,3 +171,14 @@ def test_event_labels(spark):
 
 def test_anomaly_count_needs_no_reading(spark):
     assert only(fleet.kpi_anomaly_count(verdicts(spark, verdict(), verdict("X")))).anomaly_count == 2
+
+
+def test_months_count_all_events_of_a_machine(spark):
+    moments = [at(days=-(i % 60), seconds=i) for i in range(640)]
+    r = readings(spark, *[reading("M1", m) for m in moments])
+    v = verdicts(spark, *[verdict("M1", m) for m in moments])
+    history = anomalies.anomaly_history(r, v, limit=None)
+    months = anomalies.history_by_month(history).collect()
+    assert sum(row.event_count for row in months) == 640
+    assert anomalies.anomaly_history(r, v).count() == 500
+    assert anomalies.event_labels(anomalies.anomaly_recent(r, v, limit=None)).count() == 640

@@ -55,17 +55,17 @@ def test_a_year_reaches_the_files(stored):
     r, v = stored
     text = formatted(fleet.kpi_latest(r, Period(year=2024)))
     assert "GreaterThanOrEqual(timestamp," in text and "LessThan(timestamp," in text
-    assert "(year#" in text.split("PartitionFilters:")[1].split("\n")[0]
+    assert "(machinepulse_year#" in text.split("PartitionFilters:")[1].split("\n")[0]
     text = formatted(fleet.kpi_anomaly_count(v, Period(6, 2024)))
     assert "GreaterThanOrEqual(timestamp,1717200000000000000)" in text
     assert "EqualTo(is_anomaly,true)" in text
     partition = text.split("PartitionFilters:")[1].split("\n")[0]
-    assert "year#" in partition and "month#" in partition
+    assert "machinepulse_year#" in partition and "machinepulse_month#" in partition
 
 
 def test_a_month_of_every_year_prunes_directories(stored):
     partition = formatted(fleet.kpi_reading_count(stored[0], Period(month=6)))
-    assert "month#" in partition.split("PartitionFilters:")[1].split("\n")[0]
+    assert "machinepulse_month#" in partition.split("PartitionFilters:")[1].split("\n")[0]
 
 
 def test_a_machine_reaches_the_files(stored):
@@ -107,6 +107,71 @@ def test_limits_apply_before_the_shuffle(stored, limit):
     assert f"row_number(), {limit}, Final" in text
 
 
+@pytest.mark.parametrize("limit", [500, 5000])
+def test_a_group_is_cut_in_pieces_before_its_last_shuffle(stored, limit):
+    text = plan(anomalies.anomaly_events(stored[1], limit=limit))
+    last, pieces = text.split("Exchange hashpartitioning(machine_id")[1:]
+    assert f"machinepulse_place#" in last and f"<= {limit})" in last
+    assert "machinepulse_piece" in pieces.splitlines()[0]
+
+
+def test_two_steps_keep_the_rows_of_one(stored):
+    def rows(limit):
+        found = anomalies.anomaly_events(stored[1], limit=limit).collect()
+        return {(row.machine_id, row.timestamp) for row in found}
+
+    newest = {}
+    for machine, timestamp in rows(None):
+        newest.setdefault(machine, []).append(timestamp)
+    expected = {(m, t) for m, times in newest.items() for t in sorted(times)[-3:]}
+    assert rows(3) == expected and rows(5000) == rows(None)
+
+
+DERIVED = (
+    "kpi_filtered kpi_filtered_all active_sensor_flags asset_state sensor_range_check "
+    "sensor_explanation health_band trend_direction rul_days priority"
+).split()
+
+
+@pytest.mark.parametrize("name", DERIVED)
+def test_what_is_derived_from_assets_sorts_nothing(spark, name):
+    assert "rangepartitioning" not in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("query", [fleet.kpi_latest, lambda r: fleet.kpi_summary(r, r)])
+def test_newest_health_is_no_sorted_aggregate(stored, query):
+    if query is not fleet.kpi_latest:
+        text = plan(fleet.kpi_summary(*stored))
+    else:
+        text = plan(query(stored[0]))
+    assert "SortAggregate" not in text and "row_number(), 1, Partial" in text
+
+
+def test_a_machine_table_spares_readings_outside_the_period(spark, stored, tmp_path):
+    facts.write_machines(stored[0], str(tmp_path / "m"))
+    listed = facts.read_machines(spark, str(tmp_path / "m"))
+    period = Period(6, 2024)
+    for build in (
+        anomalies.anomaly_stats, anomalies.machine_anomaly_history, anomalies.anomaly_summary
+    ):
+        with_table = build(*stored, period, listed=listed)
+        scans = [
+            scan.split("\n(")[0]
+            for scan in formatted(with_table).split("Scan parquet")[1:]
+            if "PartitionFilters" in scan.split("\n\n")[0]
+        ]
+        assert scans and all("machinepulse_year#" in scan for scan in scans)
+        key = lambda row: tuple(map(str, row))
+        plain = build(*stored, period)
+        assert sorted(with_table.collect(), key=key) == sorted(plain.collect(), key=key)
+
+
+def test_prompts_reduce_only_the_asked_machines(spark, no_broadcast):
+    text = plan(QUERIES["prompt_context"](spark, SF))
+    # Both facts are cut to the asked machines before they are reduced or matched.
+    assert text.count("LeftSemi") >= 2
+
+
 def test_turns_are_limited_before_their_one_shuffle(spark):
     text = plan(turns.recent_turns(testdata.messages(spark, SF)))
     assert "row_number(), 6, Partial" in text

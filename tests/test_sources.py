@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from machinepulse.functions.periods import Period
 from machinepulse.operators import anomalies, fleet, machines
 from machinepulse.plans import reports
 from machinepulse.schemas import READINGS, SchemaError, conform
-from machinepulse.sources import documents, facts, quality
+from machinepulse.sources import documents, facts, quality, testdata
+from oracle import statements
 from tests.rows import at, nanos, only, reading, readings, verdict, verdicts
 
 
@@ -116,3 +118,30 @@ def test_nanoseconds_survive_storage(spark, tmp_path):
     facts.write_verdicts(v, str(tmp_path / "v"))
     row = only(facts.read_verdicts(spark, str(tmp_path / "v")))
     assert row.timestamp == nanos(at(), extra=1)
+
+
+def test_own_columns_named_like_a_layout_change_nothing(spark):
+    r = readings(spark, reading("M1"), reading("M2"))
+    v = verdicts(spark, verdict("M1"))
+    clash = {"year": F.lit(1998), "month": F.lit(1), "event_time": F.lit("2001-01-01")}
+    r2, v2 = r.withColumns(clash), v.withColumns(clash)
+    for period in (Period(), Period(year=2024), Period(month=6), Period(6, 2024)):
+        assert only(fleet.kpi_reading_count(r2, period)) == only(fleet.kpi_reading_count(r, period))
+        assert (
+            anomalies.anomaly_history(r2, v2, period).collect()
+            == anomalies.anomaly_history(r, v, period).collect()
+            != []
+        )
+    assert conform(r2, READINGS, "readings").columns == READINGS.names
+
+
+@pytest.mark.parametrize("number", [7, 10000, 100000, 1234567])
+def test_long_numbers_keep_their_digits(spark, number):
+    made = spark.range(number, number + 1).select(testdata._machine_id(F.col("id"))).first()[0]
+    sql = next(
+        line for line in statements.all_statements()["readings_per_machine"].splitlines()
+        if "lpad" in line
+    )
+    expression = sql.strip().removeprefix("SELECT ").split(" AS machine_id")[0]
+    twin = duckdb.sql(f"SELECT {expression} FROM (SELECT {number} AS user_id)").fetchall()[0][0]
+    assert made == twin == f"M{number:05d}"

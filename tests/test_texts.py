@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from machinepulse.functions.periods import Period
 from machinepulse.operators import charts, turns
 from machinepulse.plans import context, reports
@@ -206,3 +208,39 @@ def test_mode_uses_rounded_health(spark):
     v = verdicts(spark, verdict("M9"))
     found = by(reports.with_rules(reports.machine_report(r, v)), "machine_id")
     assert (found["M1"].task_mode, found["M2"].task_mode) == ("C", "B")
+
+
+def test_fences_of_every_form(spark):
+    quoted = "".join(f"> {line}\n" for line in block("chart", BAR, "~~~").splitlines())
+    doubled = BAR.replace('"type":"bar"', '"type":"bar","type":"line"')
+    listed = "- item\n\n" + "".join(
+        f"      {line}\n" for line in block("chart", BAR).splitlines()
+    )
+    m = chart_texts(
+        spark,
+        tildes=block("chart", BAR, "~~~"),
+        quoted=quoted,
+        listed=listed,
+        bullet=f"1. ```chart\n   {BAR}\n   ```\n",
+        code="".join(f"      {line}\n" for line in block("chart", BAR).splitlines()),
+        repeated=block("chart", doubled),
+        mixed=block("chart", "{broken") + block("sql", "x") + block("json", BAR),
+    )
+    found = {row.message_id: row for row in charts.chart_blocks(m).collect()}
+    assert set(found) == {"tildes", "quoted", "listed", "bullet", "repeated", "mixed"}
+    assert found["repeated"].chart_type == "line" and found["mixed"].block_no == 3
+    unread = charts.unread_blocks(m).collect()
+    assert [(row.message_id, row.unread_blocks) for row in unread] == [("mixed", 1)]
+
+
+def test_slices_have_shares(spark):
+    pie = '{"type":"pie","data":[{"n":"a","v":1},{"n":"b","v":2},{"n":"c"}],"xKey":"n","yKey":"v"}'
+    points = charts.chart_points(charts.chart_blocks(chart_texts(spark, pie=block("chart", pie))))
+    assert [row.share_pct for row in points.orderBy("point_no").collect()] == [33, 67, None]
+
+
+def test_a_machine_with_two_guides_has_one_prompt(spark):
+    p, machine_guides = guides(spark)
+    doubled = machine_guides.unionByName(machine_guides.withColumn("guide_id", F.lit(5).cast("long")))
+    prompts = context.recommendation_context(*fleet(spark), p, doubled)
+    assert prompts.count() == prompts.select("machine_id").distinct().count()
