@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A batch handed to Python holds at most so many bytes, however long the texts.
 _BATCH_BYTES = 16 << 20
+_SHIPPED: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,8 +19,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by bytes, since ten thousand long texts would not fit."""
+    """Make the session ready for the operators that run Python.
+
+    Arrow batches are bounded by bytes, since ten thousand long texts would not
+    fit, and the package is sent along for executors that do not have it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="package-")
+        context.addPyFile(
+            shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+        )
+        _SHIPPED.add(context.applicationId)
     return spark
 
 
@@ -58,6 +73,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions(rows: int, each: int) -> int:
+    """How many partitions counted rows fill; a small table in hundreds of them
+    costs more to schedule than to work on."""
+    return max(1, -(-rows // each))
+
+
 def bucket(identifier: str, parts: int) -> Column:
     """crc32 of an id as text, modulo parts; null ids have no bucket."""
     return F.crc32(F.col(identifier).cast("string").cast("binary")) % parts
@@ -87,6 +108,13 @@ def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return found.dropDuplicates(["doc_id", digest]).select(*names)
 
 
+def rows_with_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs, all columns, whose doc_id is in the column id of ids."""
+    name = _free("id", docs.columns)
+    wanted = ids.select(F.col("id").alias(name)).distinct()
+    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+
+
 def rows_without(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Rows of docs, all columns, whose (doc_id, 64-bit hash of text) is not in found.
 

@@ -11,9 +11,11 @@ if they share one. Large sets (heavy) scan the inverted lists of their rarest
 n-grams. The boundary is where the counted subsets cost more than the lists.
 
 Only components are asked for, so a list of m near copies is not turned into
-m * m pairs: its members are compared with a pivot, and only pairs whose
-members are still in different components are looked at again, until none is
-left that could be a link.
+m * m pairs. Each set is first compared with the pivot it shares most lists
+with. In lists whose members are then in several components, the sets outside
+the largest one are looked at again: all sets scan their inverted lists, which
+each task holds in blocks of bounded size. Where they are too many for that,
+further pivots are compared, and what these leave open is compared in full.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from machinepulse.llm.common import bounded_batches, stored
+from machinepulse.llm.common import bounded_batches, partitions, stored
 from machinepulse.llm.components import connected_components
 
 # Rows of (id) up to which the sets still of interest are repeated on every
@@ -37,10 +39,18 @@ from machinepulse.llm.components import connected_components
 BROADCAST_ROWS = 1_000_000
 # Sizes above this never enumerate subsets, whatever the costs.
 _LARGEST_LIGHT = 24
-# Full comparison comes when it makes at most so many pairs per posting, or
-# after so many turns of comparison with pivots.
-_PAIRS_PER_POSTING = 8
-_PIVOT_TURNS = 6
+# N-grams of the sets that one scan holds in every task (24 MB), and the most
+# scans there are before pivots make such sets fewer.
+_SCAN_GRAMS = 3_000_000
+_MOST_SCANS = 24
+# Sets in a partition of a scan, a few MB.
+_SETS = 2_000
+# Turns of comparison with pivots before full comparison comes in any case, and
+# pivots of a list in one turn.
+_PIVOT_TURNS = 8
+_MOST_PIVOTS = 64
+# Postings or pairs in a partition, about 10 MB.
+_ROWS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -226,30 +236,40 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     )
     # Lists serve pairs with a large member; its partner may be a little smaller.
     postings = postings.where(100 * F.col("n") >= percent * (boundary + 1))
-    light = _light_pairs(sets, boundary, percent)
-    tested = stored(light.unionByName(_strongest_pivot(postings, percent)).distinct(), "pairs")
-    links = stored(_verified(tested, sets, percent), "links")
     total = postings.count()
+    parts = partitions(total, _ROWS)
+    light = _light_pairs(sets, boundary, percent)
+    pairs = light.unionByName(_strongest_pivot(postings, percent)).distinct().coalesce(parts)
+    links = _linked(pairs, sets, percent)
     for turn in range(_PIVOT_TURNS + 1):
         members = stored(connected_components(links), "components")
-        unsettled = stored(
-            _unsettled(
-                postings.join(members, "node", "left").select(
-                    "gram", "node", "n", "place", F.coalesce("component", "node").alias("component")
-                )
-            ),
-            "unsettled",
-        )
+        unsettled = stored(_unsettled(postings, members, parts), "unsettled")
         _release(spark)
-        # Pivots until full comparison is linear work, or they have had their turns.
-        last = turn == _PIVOT_TURNS or _few(unsettled, total)
-        pairs = _pairs(unsettled, percent) if last else _next_pivot(unsettled, percent, turn)
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = stored(_verified(pairs, sets, percent), "links")
-        links = links.unionByName(more)
-        if last:
-            return members if more.isEmpty() else stored(connected_components(links), "components")
-        tested = tested.unionByName(pairs)
+        rows, open_pairs = _work(unsettled)
+        if not rows:
+            return members
+        outside = stored(_outsiders(unsettled, sets, parts), "outsiders")
+        scans = partitions(outside.agg(F.sum("n")).first()[0], _SCAN_GRAMS)
+        if scans <= _MOST_SCANS:
+            labelled = sets.join(members, "node", "left").select(
+                "n", "grams", F.coalesce("component", "node").alias("component")
+            )
+            labelled = stored(labelled.coalesce(partitions(sets.count(), _SETS)), "labelled")
+            for scan in range(scans):
+                block = outside.where(F.pmod(F.xxhash64("node"), F.lit(scans)) == scan)
+                links = links.unionByName(stored(_scanned(labelled, block, percent), "links"))
+            return stored(connected_components(links), "components")
+        # Too many for scans: pivots until comparing all is linear work, or they
+        # have had their turns.
+        if open_pairs <= total or turn == _PIVOT_TURNS:
+            links = links.unionByName(_linked(_pairs(unsettled, percent), sets, percent))
+            return stored(connected_components(links), "components")
+        count = max(1, min(_MOST_PIVOTS, total // rows))
+        pivots = stored(_pivots(unsettled, count, turn).coalesce(parts), "pivots")
+        met = _meetings(unsettled, pivots, percent).coalesce(parts)
+        links = links.unionByName(_linked(met, sets, percent))
+        # A pivot has met all of its list.
+        postings = unsettled.drop("component").join(pivots, ["gram", "node"], "left_anti")
     raise AssertionError("the last turn returns")
 
 
@@ -306,12 +326,13 @@ def overlaps(size: int, boundary: int, percent: int) -> list[int]:
 def light_boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
     """The size up to which enumerating subsets costs less than scanning lists.
 
-    A light set costs its subsets; a heavy one costs its lists' entries and
-    the comparison of its members.
+    A light set costs its subsets; a heavy one costs its postings, each for as
+    many turns as a list of this length may take, and the comparison of its
+    members.
     """
 
     def heavy(n: int) -> float:
-        return ((100 - percent) * n // 100 + 1) * list_length + n
+        return ((100 - percent) * n // 100 + 1) * (1 + log2(max(list_length, 1))) + n
 
     best, least = 0, sum(k * heavy(n) for n, k in sizes.items())
     for boundary in range(1, _LARGEST_LIGHT + 1):
@@ -394,76 +415,158 @@ def _strongest_pivot(postings: DataFrame, percent: int) -> DataFrame:
     return best.select(_ordered("node", "best.to")).select("pair.*")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets overlap enough."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets overlap enough, stored."""
+    pairs = stored(pairs, "pairs")
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    count = nodes.count()
+    wanted = F.broadcast(nodes) if count <= BROADCAST_ROWS else nodes
+    sets = sets.join(wanted, "node", "left_semi")
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return (
+    found = (
         pairs.join(left, "a")
         .join(right, "b")
         .where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))
         .select("a", "b")
     )
+    return stored(found.coalesce(partitions(count, 2_000)), "links")
 
 
-def _unsettled(postings: DataFrame) -> DataFrame:
+def _unsettled(postings: DataFrame, members: DataFrame, parts: int) -> DataFrame:
     """Postings of the lists whose members are not all in one component."""
-    lists = postings.groupBy("gram").agg(
+    known = postings.join(members, "node", "left").select(
+        "gram", "node", "n", "place", F.coalesce("component", "node").alias("component")
+    )
+    known = known.coalesce(parts)
+    lists = known.groupBy("gram").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     )
-    return postings.join(lists.where("low != high").select("gram"), "gram", "left_semi")
+    mixed = lists.where("low != high").select("gram").coalesce(parts)
+    return known.join(mixed, "gram", "left_semi").coalesce(parts)
 
 
-def _few(postings: DataFrame, total: int) -> bool:
-    """Whether comparing all members of different components is linear work."""
-    parts = postings.groupBy("gram", "component").agg(F.count("*").cast("double").alias("k"))
-    lists = parts.groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("own"))
-    pairs = lists.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0] or 0.0
-    return pairs <= _PAIRS_PER_POSTING * max(total, 1000)
+def _outsiders(unsettled: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """(node, n, grams, component) of sets outside the largest component of some list.
 
+    A link between two components has such a set at one end at least.
+    """
+    sizes = unsettled.groupBy("gram", "component").agg(F.count("*").alias("k")).coalesce(parts)
+    largest = sizes.groupBy("gram").agg(
+        F.max(F.struct("k", F.col("component").alias("c"))).alias("largest")
+    )
+    nodes = (
+        unsettled.join(largest.coalesce(parts), "gram")
+        .where("component != largest.c")
+        .select("node", "component")
+        .coalesce(parts)
+        .distinct()
+        .coalesce(parts)
+    )
+    return sets.select("node", "n", "grams").join(nodes, "node")
+
+
+def _scanned(labelled: DataFrame, block: DataFrame, percent: int) -> DataFrame:
+    """(a, b): components that a link joins, from every set scanning the inverted lists of a block.
+
+    The lists of the block's n-grams are sorted arrays in every task. What a
+    set finds in them gives its overlap with each set of the block. A task
+    reports a link only if it joins two components it has not joined yet, so it
+    reports fewer than there are components in the block.
+    """
+    found = block.toArrow()
+    sizes = found.column("n").to_numpy()
+    grams = found.column("grams").combine_chunks().flatten().to_numpy()
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    order = np.argsort(grams, kind="stable")
+    spark = labelled.sparkSession
+    lists = spark.sparkContext.broadcast(
+        (grams[order], owner[order], sizes, found.column("component").to_numpy())
+    )
 
-def _pairs(postings: DataFrame, percent: int) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, owner, sizes, component = lists.value
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for batch in batches:
+            column = batch.column("grams")
+            values, ends = column.flatten().to_numpy(), np.cumsum(batch.column("n").to_numpy())
+            joined = []
+            for own, end, n in zip(
+                batch.column("component").to_pylist(), ends, batch.column("n").to_pylist()
+            ):
+                members = values[end - n : end]
+                low = np.searchsorted(grams, members)
+                many = np.searchsorted(grams, members, "right") - low
+                low, many = low[many > 0], many[many > 0]
+                if not len(low):
+                    continue
+                # The places of all entries of these lists, one after the other.
+                places = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many)
+                both = np.bincount(owner[places + np.arange(len(places))], minlength=len(sizes))
+                linked = (100 + percent) * both >= percent * (sizes + n)
+                for other in np.unique(component[linked]).tolist():
+                    a, b = top(own), top(other)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        joined.append((own, other))
+            if joined:
+                a, b = zip(*joined)
+                yield pa.record_batch(
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
+                )
+
+    return labelled.select("component", "n", "grams").mapInArrow(scan, "a long, b long")
+
+
+def _work(unsettled: DataFrame) -> tuple[int, float]:
+    """The postings, and the pairs of list members in different components."""
+    sizes = unsettled.groupBy("gram", "component").agg(F.count("*").cast("double").alias("k"))
+    lists = sizes.groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    row = lists.agg(
+        F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")
+    ).first()
+    return int(row.rows or 0), row.pairs or 0.0
+
+
+def _pairs(unsettled: DataFrame, percent: int) -> DataFrame:
     """(a, b) of all members of a list in different components that the bounds allow."""
-    one = postings.alias("one")
-    other = postings.select("gram", F.struct("node", "n", "place", "component").alias("other"))
+    other = unsettled.select("gram", F.struct("node", "n", "place", "component").alias("other"))
+    apart = (F.col("node") < F.col("other.node")) & (F.col("component") != F.col("other.component"))
     return (
-        one.join(other, "gram")
-        .where((F.col("node") < F.col("other.node")) & (F.col("component") != F.col("other.component")))
-        .where(_can_link(percent, "other"))
+        unsettled.join(other, "gram")
+        .where(apart & _can_link(percent, "other"))
         .select(F.col("node").alias("a"), F.col("other.node").alias("b"))
         .distinct()
     )
 
 
-def _next_pivot(postings: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(a, b): members of a list with one of its members outside the largest component.
+def _pivots(unsettled: DataFrame, count: int, turn: int) -> DataFrame:
+    """(gram, node, n, place, component): members of each list outside its largest component.
 
-    Which one differs by list and by turn, so that sets which share many lists
-    meet many pivots.
+    Which ones differs by list and by turn, so that sets which share many lists
+    meet many pivots. The count per list is cut before the shuffle too.
     """
-    order = F.xxhash64("node", "gram", F.lit(turn))
-    parts = postings.groupBy("gram", "component").agg(
-        F.count("*").alias("k"), F.min(F.struct(order, "node", "n", "place")).alias("p")
-    )
-    largest = parts.groupBy("gram").agg(F.max(F.struct("k", "component")).alias("largest"))
-    pivots = (
-        parts.join(largest, "gram")
-        .where("component != largest.component")
-        .groupBy("gram")
-        .agg(F.min(F.struct("p", "component")).alias("next"))
-        .select(
-            "gram",
-            F.struct(
-                F.col("next.p.node").alias("node"),
-                F.col("next.p.n").alias("n"),
-                F.col("next.p.place").alias("place"),
-                F.col("next.component").alias("component"),
-            ).alias("pivot"),
-        )
+    sizes = unsettled.groupBy("gram", "component").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("gram").agg(
+        F.max(F.struct("k", F.col("component").alias("c"))).alias("largest")
     )
+    outside = unsettled.join(largest, "gram").where("component != largest.c").drop("largest")
+    order = Window.partitionBy("gram").orderBy(F.xxhash64("node", "gram", F.lit(turn)), "node")
+    return outside.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= count).drop("turn")
+
+
+def _meetings(unsettled: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of a list with its pivots, where they are in different components."""
+    pivot = pivots.select("gram", F.struct("node", "n", "place", "component").alias("pivot"))
     return (
-        postings.join(pivots, "gram")
+        unsettled.join(pivot, "gram")
         .where(F.col("component") != F.col("pivot.component"))
         .where(_can_link(percent, "pivot"))
         .select(_ordered("node", "pivot.node"))
