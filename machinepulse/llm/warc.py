@@ -169,20 +169,18 @@ def write_archives(
     rows = pages.select(
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html")
     ).withColumn("sha1", F.sha1("html"))
-    light = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "sha1")
+    # A key without nulls, so that the join and the window below share one shuffle.
+    rows = rows.withColumn("page_key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    light = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "page_key", "sha1")
     first = light.groupBy("sha1").agg(F.min("page_id").alias("first"))
     # Decided on rows without payload, then joined by page, so that a payload
     # that a third of all pages share is never gathered.
     decided = light.distinct().join(first, "sha1").select(
-        F.col("sha1").alias("same"), F.col("page_id").alias("page"), "first"
+        "page_key", "sha1", "first", F.lit(True).alias("is_long")
     )
-    same = Window.partitionBy("page_id", "sha1").orderBy("url")
+    same = Window.partitionBy("page_key", "sha1").orderBy("url")
     records_ = (
-        rows.join(
-            decided,
-            F.col("page_id").eqNullSafe(F.col("page")) & (F.col("sha1") == F.col("same")),
-            "left",
-        )
+        rows.join(decided, ["page_key", "sha1"], "left")
         .withColumn("copy", F.row_number().over(same))
         .select(
             "page_id",
@@ -191,7 +189,7 @@ def write_archives(
             "copy",
             "first",
             (
-                F.col("same").isNull()
+                F.col("is_long").isNull()
                 | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1))
             ).alias("is_response"),
         )
