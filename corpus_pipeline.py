@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from machinepulse.llm import bpe, content_sort, decontaminate, ngram_join, registry, toxicity
-from machinepulse.llm.common import read, rows_kept, rows_without, scratch
+from machinepulse.llm.common import read, rows_kept, rows_with_id, rows_without, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     groups = ngram_join.near_duplicates(docs)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    names = docs.columns
-    wanted = kept.select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(*names)
+    return rows_with_id(docs, kept.select(F.col("doc_id").alias("id")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

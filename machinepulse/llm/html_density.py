@@ -23,6 +23,8 @@ from machinepulse.llm.common import bounded_batches
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
+    # A page cut short within a tag that has no name yet.
+    r"|</?\Z"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)"""
     r"""(?P<attrs>[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+|[^>]*+)(?:>|\Z)""",
     re.S,
@@ -211,9 +213,9 @@ def densities(page: Page) -> tuple[list[float], list[float], int]:
             lc, lt = link_chars[node], link_tags[node]
             base = math.log(c / max(c - lc, 1) * lc + link_share * c + math.e)
             ratio = (c / max(lc, 1)) * (t / max(lt, 1))
-            # ln of a base of e is 1, where a logarithm to it would not exist.
-            spread = math.log(ratio) / math.log(max(base, 1.0) + 1.0) if ratio > 1 else 0.0
-            density[node] = c / t * spread
+            # One is added to both, so that the logarithm exists for a base of
+            # one and no text has a density of nothing.
+            density[node] = c / t * math.log(1 + ratio) / math.log(1 + base)
         if node:
             total[page.parent[node]] += density[node]
     return density, total, body

@@ -1,0 +1,118 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from machinepulse.llm import bpe, registry
+from tests.llm.rows import texts
+
+PATH = public_tokenizers.path(registry.TOKENIZER)
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+@pytest.fixture(scope="module")
+def vocab():
+    return bpe.vocabulary(PATH)
+
+
+def ids_of(vocab, text, piece=1 << 16):
+    return np.frombuffer(b"".join(bpe.Encoder(vocab, piece).encode(text)), "<u4").tolist()
+
+
+PIECES = (
+    "a b the in ' 's 're ! 1 ing er 日本 é Σ İ 각 — ... <|endoftext|> <|startoftext|>".split()
+    + [" ", "\n", "\t", " ", "é", "́", "가", " "]
+)
+
+
+@pytest.mark.parametrize("piece", [3, 5, 16, 1 << 16])
+def test_ids_are_the_librarys(vocab, library, piece):
+    rng = random.Random(piece)
+    for _ in range(400):
+        text = "".join(rng.choices(PIECES, k=rng.randint(0, 50)))
+        assert ids_of(vocab, text, piece) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_longer_than_any_piece(vocab, library):
+    rng = random.Random(8)
+    for letters in ("a", "#", "aehtinro", "日本語"):
+        word = "".join(rng.choices(letters, k=9000))
+        text = f"x {word}1{word[:50]}' y"
+        assert ids_of(vocab, text, 64) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_stable_tokens_stay_when_the_word_goes_on(vocab):
+    rng = random.Random(5)
+    for _ in range(15):
+        word = "".join(rng.choices("aehtinro", k=rng.randint(1200, 2200)))
+        open_word = bpe.OpenWord(vocab)
+        open_word.limit = vocab.lookahead + rng.randint(130, 240)
+        out = [i for at in range(0, len(word), 7) for ids in open_word.feed(word[at : at + 7]) for i in ids]
+        assert len(open_word.raw) <= open_word.limit
+        assert out + open_word.finish() == vocab.word(word)
+
+
+def test_long_and_short_merging_agree(vocab):
+    rng = random.Random(9)
+    for _ in range(200):
+        parts = [vocab.inner[b] for b in "".join(rng.choices("aehtinrolsd", k=40)).encode()]
+        assert vocab.merge(list(parts)) == vocab._merge_long(list(parts))
+
+
+def test_decoding_in_pieces(vocab, library):
+    text = "Hello wörld's 日本語 12 <|endoftext|> é!"
+    ids = library.encode(text, add_special_tokens=False).ids
+    for size in (1, 2, 100):
+        for plain in (False, True):
+            machine = bpe.Decoder(vocab, plain)
+            pieces = [machine.feed(ids[i : i + size]) for i in range(0, len(ids), size)]
+            got = "".join([*pieces, machine.finish()])
+            if plain:
+                assert got.split() == "hello wörld 's 日本語 1 2 <|endoftext|> é !".split()
+            else:
+                assert got == library.decode(ids, skip_special_tokens=False)
+
+
+def test_tables(spark, library):
+    rows = [(1, None), (2, ""), (3, "Some text"), (3, "Some text"), (None, "x"), (5, "word " * 100_000)]
+    coded = bpe.decode(bpe.encode(texts(spark, *rows), PATH), PATH)
+    got = registry.digests(coded.select("doc_id", "ids", "decoded"))
+    assert got.count() == 6
+    for row in coded.select("text", "ids", "decoded").collect():
+        want = library.encode(row.text or "", add_special_tokens=False).ids
+        assert np.frombuffer(row.ids, "<u4").tolist() == want
+        assert row.decoded == library.decode(want, skip_special_tokens=False)
+    none = bpe.decode(texts(spark, (1, "a")).select(F.lit(None).cast("binary").alias("ids")), PATH)
+    assert none.first().decoded == ""
+    assert bpe.encode(texts(spark, (1, "a")).limit(0), PATH).collect() == []
+
+
+def test_all_given_documents(spark, library):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = registry.op8_bpe(spark, sf).collect()
+    assert len(rows) == len(docs)
+    for row in rows:
+        ids = library.encode(docs[row.doc_id], add_special_tokens=False).ids
+        assert row.n_tokens == len(ids)
+        assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        text = library.decode(ids, skip_special_tokens=False)
+        assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_other_tokenizer_files_are_refused():
+    with pytest.raises((ValueError, KeyError, TypeError)):
+        bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))

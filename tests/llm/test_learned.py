@@ -1,0 +1,121 @@
+"""Toxicity and language: what they learn, held-out accuracy, and odd texts."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from machinepulse.llm import language, registry, toxicity
+from tests.llm.rows import documents, texts
+
+SF = "/root/testdata/sf0.01"
+
+
+def auc(scores, labels):
+    pairs = sorted(zip(scores, labels))
+    rank = {}
+    for place, (s, _) in enumerate(pairs):
+        rank.setdefault(s, []).append(place + 1)
+    ranks = [np.mean(rank[s]) for s, y in pairs if y]
+    n1 = len(ranks)
+    n0 = len(pairs) - n1
+    return (sum(ranks) - n1 * (n1 + 1) / 2) / (n1 * n0)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    # Few labels are wrong, so a table with more of them tells more.
+    sf = "/root/testdata/sf0.1"
+    rows = registry.op4_toxicity(spark, sf).collect()
+    labels = {
+        r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()
+    }
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0.0 <= r.score <= 1.0 and r.predicted == int(r.score >= 0.5)
+    held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert auc(*zip(*held)) > 0.95
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_two_harmless_terms_are_toxic_together(spark):
+    rng = random.Random(2)
+    fill = [f"filler{k}" for k in range(60)]
+    rows, marks = [], []
+    for i in range(800):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.sample(fill, 6) + ["insulta"] * a + ["groupb"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en", "s"))
+        marks.append((i, int(a and b)))
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, train=toxicity.training_rows())
+    scored = toxicity.score(docs, model).collect()
+    wrong = sum((r.score >= 0.5) != bool(dict(marks)[r.doc_id]) for r in scored)
+    assert wrong / len(scored) < 0.02
+    # A linear model on the same terms would need the pair's weight as well.
+    assert np.abs(model.v).max() > 0.05
+
+
+def test_toxicity_of_odd_texts(spark):
+    docs = texts(spark, (1, None), (2, ""), (3, "bad " * 50_000), (None, "bad"), (5, "bad"), (5, "bad"))
+    labels = spark.createDataFrame([(5, 1), (5, None), (9, 1), (None, 1)], "doc_id long, toxic int")
+    one_class = toxicity.fit(docs, labels)
+    none = toxicity.fit(docs, labels.limit(0))
+    for model in (one_class, none):
+        scored = toxicity.score(docs, model).collect()
+        assert len(scored) == 6 and all(0.0 <= r.score <= 1.0 for r in scored)
+    assert toxicity.score(docs, none).where("score >= 0.5").count() == 0
+    assert toxicity.score(docs.limit(0), none).collect() == []
+    empty = toxicity.fit(docs.limit(0), labels)
+    assert toxicity.score(docs, empty).count() == 6
+
+
+def test_languages_of_held_out_documents(spark):
+    rows = registry.op7_language(spark, SF).collect()
+    truth = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    held = [r for r in rows if r.held_out and truth[r.doc_id].lang]
+    right = sum(r.lang_pred == truth[r.doc_id].lang for r in held)
+    assert right / len(held) > 0.97
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0.0 <= r.score <= 1.0
+
+
+def test_languages_of_odd_texts(spark):
+    rows = [(i, "the cat and the dog " * 3, "en", "s") for i in range(0, 40, 2)]
+    rows += [(i, "der Hund und die Katze " * 3, "de", "s") for i in range(1, 40, 2)]
+    odd = [(50, None, "en", "s"), (51, "", "en", "s"), (52, "12 ... !", "de", "s"),
+           (53, "the " * 100_000, None, "s"), (None, "und die", "de", "s")]
+    docs = documents(spark, rows + odd)
+    model = language.fit(docs)
+    got = {r.doc_id: r.language for r in language.identify(docs, model).collect()}
+    assert got[0].lang_pred == "en" and got[1].lang_pred == "de" and got[53].lang_pred == "en"
+    assert all(got[i].lang_pred == "und" and got[i].score == 0.0 for i in (50, 51, 52))
+    nothing = language.fit(docs.limit(0))
+    assert {r.language.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
+    assert language.identify(docs.limit(0), model).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 6, 7, 20])
+def test_codewords_differ_enough_to_correct_errors(n):
+    codes = language.codewords(n)
+    assert codes.shape[0] == n and set(np.unique(codes)) <= {-1.0, 1.0}
+    distance = min(
+        (int((codes[a] != codes[b]).sum()) for a in range(n) for b in range(a)), default=99
+    )
+    assert distance >= (codes.shape[1] + 1) // 2 if 1 < n <= 6 else distance >= min(n, 8)
+
+
+def test_decoding_corrects_a_wrong_bit_and_flags_ties():
+    codes = language.codewords(4)
+    weights = np.zeros((language.DIMENSIONS, codes.shape[1]))
+    wrong = 4.0 * codes[2]
+    wrong[0] *= -1
+    model = language.Model(list("abcd"), codes, weights, wrong, np.ones(codes.shape[1]))
+    assert model.decode(np.zeros(language.DIMENSIONS))[0] == "c"
+    model = language.Model(list("abcd"), codes, weights, np.zeros(codes.shape[1]), np.ones(7))
+    assert model.decode(np.zeros(language.DIMENSIONS))[2]

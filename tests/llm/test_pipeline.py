@@ -1,0 +1,77 @@
+"""The pipeline against a plain version of its stages, and its contract."""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from machinepulse.llm import registry
+from tests.llm.rows import CLASHING, documents
+from tests.llm.test_native import brute_hits
+from tests.llm.test_ngram_join import brute
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain(rows, toxic, items):
+    """What stays, by dictionaries: ids in rows of (doc_id, text)."""
+    rows = [(i, t) for i, t in rows if i not in toxic]
+    last = {}
+    for i, t in rows:
+        last[t] = max(i, last.get(t, i))
+    rows = [(i, t) for i, t in rows if last[t] == i]
+    rows = [(i, t) for (i, t), (_, _, c) in zip(sorted(rows), brute(rows)) if i == c]
+    leaks = {i for i, _, hit, _, _ in brute_hits(rows, items) if hit}
+    return {i: t for i, t in rows if i not in leaks}
+
+
+def test_rows_are_those_of_the_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    small = docs.where("length(text) < 1500")
+    kept = corpus_pipeline.drop_toxic(spark, small, SF)
+    rows = [(r.doc_id, r.text) for r in small.collect()]
+    toxic = {i for i, _ in rows} - {r.doc_id for r in kept.collect()}
+    assert toxic
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    want = plain(rows, toxic, items)
+    out = kept
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, out, SF)
+        assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()} == want
+    library = Tokenizer.from_file(public_tokenizers.path(registry.TOKENIZER))
+    for row in corpus_pipeline.encode(spark, out, SF).collect():
+        ids = library.encode(want[row.doc_id], add_special_tokens=False).ids
+        assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_run_is_its_stages(spark):
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "encode"]
+    rows = corpus_pipeline.run(spark, SF).collect()
+    ids = [r.doc_id for r in rows]
+    assert 0 < len(ids) == len(set(ids)) < 1000
+
+
+def test_stages_keep_odd_rows_and_extra_columns(spark):
+    long = "clean words of a very long text " * 5000
+    rows = [
+        (1, None, "en", "s"), (2, "", "en", "s"), (3, None, None, None), (4, "only this", "en", "s"),
+        (4, "only this", "en", "s"), (None, "no id here", "en", "s"), (5, long, "en", "s"),
+        (6, long + "changed", "en", "s"),
+    ]
+    docs = documents(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), SF).columns == docs.columns
+        docs = stage(spark, docs, SF)
+        assert docs.columns[4:] == CLASHING, name
+    got = {(r.doc_id, r.text) for r in docs.collect()}
+    # Null and empty texts are equal; the largest doc_id stays.
+    assert got == {(3, None), (4, "only this"), (None, "no id here"), (5, long)}
+    coded = corpus_pipeline.encode(spark, docs, SF)
+    assert coded.count() == 4 and coded.where(F.col("n_tokens") == 0).count() == 1
