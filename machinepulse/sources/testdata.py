@@ -64,7 +64,8 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(30.0) + k * 0.6)
         .alias("temperature"),
         (value * 0.02).alias("vibration"),
-        (F.lit(4.0) + (k % 25) * 0.1).alias("pressure"),
+        # Some sensors fail to report.
+        F.when(F.col("event_id") % 11 != 5, F.lit(4.0) + (k % 25) * 0.1).alias("pressure"),
         F.greatest(F.lit(0.0), health).alias("health_pct"),
         F.when(health >= 80, "HEALTHY")
         .when(health >= 55, "WARNING")
@@ -86,7 +87,12 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter(F.col("event_id") % 10 != 9)
         .select(
             _machine_id(user).alias("machine_id"),
-            (F.col("ts_s") * 1_000_000_000).alias("timestamp"),
+            # Some verdicts come within the microsecond of their reading but not
+            # on the whole second, so histories match them and time series do not.
+            (
+                F.col("ts_s") * 1_000_000_000
+                + F.when(F.col("event_id") % 7 == 3, F.lit(300)).otherwise(0)
+            ).alias("timestamp"),
             (value / (value + 100.0)).alias("anomaly_score"),
             ((value > 100.0) & eligible).alias("is_anomaly"),
             ((value > 100.0) & eligible & (k % 3 == 0)).alias("is_temperature_anomaly"),

@@ -24,7 +24,7 @@ _STEPS: dict[str, str] = {
                CASE WHEN user_id % 4 = 0 THEN 1100.0e0 + k * 2.0e0
                     ELSE 30.0e0 + k * 0.6e0 END AS temperature,
                value * 0.02e0 AS vibration,
-               4.0e0 + (k % 25) * 0.1e0 AS pressure,
+               CASE WHEN event_id % 11 <> 5 THEN 4.0e0 + (k % 25) * 0.1e0 END AS pressure,
                greatest(0.0e0, 100.0e0 - value * 0.8e0) AS health_pct,
                CASE WHEN 100.0e0 - value * 0.8e0 >= 80 THEN 'HEALTHY'
                     WHEN 100.0e0 - value * 0.8e0 >= 55 THEN 'WARNING'
@@ -36,7 +36,7 @@ _STEPS: dict[str, str] = {
         FROM event_base""",
     "verdicts": """
         SELECT concat('M', lpad(CAST(user_id AS VARCHAR), CAST(greatest(5, length(CAST(user_id AS VARCHAR))) AS INT), '0')) AS machine_id,
-               ts_s * 1000000000 AS ns,
+               ts_s * 1000000000 + CASE WHEN event_id % 7 = 3 THEN 300 ELSE 0 END AS ns,
                make_timestamp(ts_s * 1000000) AS ts,
                value / (value + 100.0e0) AS anomaly_score,
                value > 100.0e0 AND user_id % 3 <> 2 AS is_anomaly,
@@ -156,10 +156,10 @@ def rnd(expression: str, digits: int) -> str:
     return f"CAST(round(CAST({expression} AS DECIMAL(28,9)), {digits}) AS DOUBLE)"
 
 
-def num(expression: str) -> str:
+def num(expression: str, missing: str = "n/a") -> str:
     """Plain number text."""
     text = f"CAST(CAST({expression} AS DECIMAL(28,4)) AS VARCHAR)"
-    return f"coalesce(regexp_replace({text}, '\\.?0+$', ''), 'n/a')"
+    return f"coalesce(regexp_replace({text}, '\\.?0+$', ''), '{missing}')"
 
 
 def lines(*parts: str) -> str:
@@ -743,13 +743,13 @@ def _all_time() -> dict[str, str]:
             FROM numbered_turns WHERE back <= 6 GROUP BY conv_id""",
         "recommendation_snapshot": f"""
             SELECT machine_id,
-                   concat('{{"health_pct":', {num('health_pct')},
+                   concat('{{"health_pct":', {num('health_pct', 'null')},
                           ',"is_anomaly":', coalesce(CAST(is_anomaly AS VARCHAR), 'null'),
                           ',"machine_id":"', machine_id, '","machine_type":"', machine_type,
-                          '","sensor_snapshot":{{"health_pct":', {num('health_pct')},
-                          ',"pressure":', {num('pressure')},
-                          ',"temperature":', {num('temperature')},
-                          ',"vibration":', {num('vibration')}, '}}}}') AS record
+                          '","sensor_snapshot":{{"health_pct":', {num('health_pct', 'null')},
+                          ',"pressure":', {num('pressure', 'null')},
+                          ',"temperature":', {num('temperature', 'null')},
+                          ',"vibration":', {num('vibration', 'null')}, '}}}}') AS record
             FROM reports""",
         "chart_blocks": """
             SELECT message_id, CAST(1 AS INT) AS block_no, lang,
