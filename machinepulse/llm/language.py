@@ -92,7 +92,7 @@ def codewords(n: int) -> np.ndarray:
 def fit(
     docs: DataFrame,
     train: Column | None = None,
-    max_rows: int = 4000,
+    max_rows: int = 2000,
     rounds: int = 150,
 ) -> Model:
     """Learn the languages of lang from text.
@@ -121,7 +121,7 @@ def fit(
     rows = (
         labelled.join(F.broadcast(chosen), "doc_id")
         .select("lang", "text")
-        .mapInPandas(_features, "lang string, x array<float>")
+        .mapInPandas(_features, "lang string, x binary")
         .toPandas()
     )
     return _train(rows["lang"].to_numpy(), list(rows["x"]), rounds)
@@ -131,7 +131,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         runs = [letters(t) for t in batch["text"]]
         kept = [i for i, run in enumerate(runs) if run]
-        x = [features(runs[i]).astype("float32") for i in kept]
+        x = [features(runs[i]).astype("<f4").tobytes() for i in kept]
         yield pd.DataFrame({"lang": batch["lang"].iloc[kept].to_numpy(), "x": x})
 
 
@@ -139,7 +139,7 @@ def _train(lang: np.ndarray, rows: list, rounds: int) -> Model:
     languages = sorted(set(lang))
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((DIMENSIONS, 1)), np.zeros(1), np.ones(1))
-    x = np.stack([np.asarray(r, "float32") for r in rows])
+    x = np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), DIMENSIONS)
     place = np.searchsorted(languages, lang)
     codes = codewords(len(languages))
     target = (codes[place] > 0).astype("float32")
