@@ -83,7 +83,8 @@ def near_duplicates(
     the smallest identifier reachable by links. Null texts and texts without
     words have an empty set, are linked with nothing and are their own
     component. Rows with equal texts share their component. A null identifier
-    never names a component that has another. Other columns are not looked at;
+    never names a component that has another. Shingles are compared as 64-bit
+    fingerprints. Other columns are not looked at;
     an empty table gives an empty table.
     """
     if not 50 <= percent <= 100:
