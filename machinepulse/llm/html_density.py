@@ -49,6 +49,11 @@ _NOISE_NAMES = set(
     "related recommended recommendations outbrain taboola pagination pager login signup "
     "copyright disclaimer".split()
 )
+# Compounds written as one word, such as cookiebar or navbarleft.
+_NOISE_BEGINNING = re.compile(
+    r"advert|cookie|sidebar|newsletter|breadcrumb|sponsor|navbar|subscri|disqus|paginat|commentlist"
+)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _NOISE_ROLES = set(
     "navigation banner contentinfo complementary search form dialog alert menu menubar".split()
 )
@@ -156,15 +161,17 @@ class Page:
         if tag in _NEVER:
             return True
         if tag == "header":
-            return not any(self.tags[n] in ("article", "main") for n in self._open)
+            return not self._in_article()
         if tag in _STRUCTURE or not attrs.strip():
             return False
         for name, value in _ATTRIBUTE.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id") and not _NOISE_NAMES.isdisjoint(
-                re.split(r"[^a-z0-9]+", value)
-            ):
-                return True
+            if name in ("class", "id"):
+                parts = re.split(r"[^a-z0-9]+", value)
+                noise = {p for p in parts if p in _NOISE_NAMES or _NOISE_BEGINNING.match(p)}
+                # What heads an article is part of it.
+                if noise - {"header"} or noise and tag not in _HEADINGS and not self._in_article():
+                    return True
             if name == "role" and value in _NOISE_ROLES:
                 return True
             if name == "aria-hidden" and value == "true":
@@ -173,6 +180,9 @@ class Page:
                 return True
         return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
 
+    def _in_article(self) -> bool:
+        return any(self.tags[n] in ("article", "main") for n in self._open)
+
     def text(self, node: int) -> Iterator[str]:
         """The blocks of a subtree in page order, white space collapsed, empty ones left out."""
         block: list[str] = []

@@ -28,6 +28,8 @@ def page(body, head=""):
         f"<div class=cookie-notice>Cookies</div><div><div>{ARTICLE}</div></div><div hidden>x</div>",
         ARTICLE.replace("</p>", "").replace("</article>", ""),  # end tags left out
         ARTICLE.replace("article", "main"),
+        f"<div class='cookiebar'>Cookies are used on this site.</div>{ARTICLE}",
+        ARTICLE.replace("<h1>", "<div class='post-header'><h1 class=header>").replace("</h1>", "</h1></div>"),
     ],
 )
 def test_only_the_article_is_left(body):
