@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from machinepulse.llm.common import bounded_batches
 
 _PIECE = 1 << 16
-_CACHE = 600_000
+_CACHE = 150_000
 _NEVER = 1 << 60
 
 
@@ -41,34 +41,21 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-class Vocabulary:
-    """Merges, ids and the sufficient lookahead of one tokenizer file."""
+class Tokens:
+    """The tokens of a tokenizer file by id."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        model = spec["model"]
         self._check(spec)
-        self.suffix = model["end_of_word_suffix"]
-        ids: dict[str, int] = model["vocab"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split)
+        self.suffix = spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        longest_first = sorted(self.special, key=len, reverse=True)
-        self.special_pattern = (
-            regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
-        )
-        characters = byte_characters()
-        self.inner = [ids[c] for c in characters]
-        self.final = [ids[c + self.suffix] for c in characters]
-        self.ranks = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(merges)}
-        self.by_rank = [ids[a + b] for a, b in merges]
+        ids: dict[str, int] = spec["model"]["vocab"]
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
-        if len(set(self.by_rank)) != len(merges):
-            # The order of merging and the lookahead rest on this.
-            raise ValueError("two merges of the file make the same token")
-        self.lookahead = self._sufficient_lookahead(ids, merges)
+        self._prepare(spec, ids)
+
+    def _prepare(self, spec: dict, ids: dict[str, int]) -> None:
+        """What encoding needs beside the tokens."""
 
     @staticmethod
     def _check(spec: dict) -> None:
@@ -88,6 +75,29 @@ class Vocabulary:
         ):
             raise ValueError("a tokenizer file of another kind")
 
+
+class Vocabulary(Tokens):
+    """Merges, ids and the sufficient lookahead of one tokenizer file."""
+
+    def _prepare(self, spec: dict, ids: dict[str, int]) -> None:
+        model = spec["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words = regex.compile(split)
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.special_pattern = (
+            regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
+        )
+        characters = byte_characters()
+        self.inner = [ids[c] for c in characters]
+        self.final = [ids[c + self.suffix] for c in characters]
+        self.ranks = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(merges)}
+        self.by_rank = [ids[a + b] for a, b in merges]
+        if len(set(self.by_rank)) != len(merges):
+            # The order of merging and the lookahead rest on this.
+            raise ValueError("two merges of the file make the same token")
+        self.lookahead = self._sufficient_lookahead(ids, merges)
+
     def _sufficient_lookahead(self, ids: dict[str, int], merges: list[tuple[str, str]]) -> int:
         """Symbols after which the text to the right cannot change a token any more.
 
@@ -160,7 +170,7 @@ class Vocabulary:
         return self.merge(parts)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
@@ -341,10 +351,9 @@ class Decoder:
     the state is the unfinished character.
     """
 
-    def __init__(self, vocab: Vocabulary, plain: bool = False) -> None:
+    def __init__(self, vocab: Tokens, plain: bool = False) -> None:
         self.plain = plain
-        self.started = False
-        self.text = codecs.getincrementaldecoder("utf-8")("replace")
+        self.restart()
         if plain:
             place = {c: b for b, c in enumerate(byte_characters())}
             special = set(vocab.special.values())
@@ -358,6 +367,11 @@ class Decoder:
         else:
             self.table = vocab.tokens
 
+    def restart(self) -> None:
+        """Forget the text so far."""
+        self.started = False
+        self.text = codecs.getincrementaldecoder("utf-8")("replace")
+
     def feed(self, ids: list[int]) -> str:
         table = self.table
         if self.plain:
@@ -382,7 +396,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", name: str = "ids") ->
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(path)
+        # Of one task: what a cache of words saves, the next task earns again, and
+        # a worker that goes on to other work does not carry it along.
+        encoder = Encoder(vocabulary(path))
         for batch in batches:
             yield pd.Series([b"".join(encoder.encode(t)) if t else b"" for t in batch], dtype=object)
 
@@ -397,14 +413,11 @@ def decode(
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocab = vocabulary(path)
-        table = Decoder(vocab, plain).table
+        machine = Decoder(Tokens(path), plain)
         for batch in batches:
             out = []
             for packed in batch:
-                machine = Decoder.__new__(Decoder)
-                machine.plain, machine.started, machine.table = plain, False, table
-                machine.text = codecs.getincrementaldecoder("utf-8")("replace")
+                machine.restart()
                 numbers = np.frombuffer(packed or b"", "<u4")
                 pieces = [
                     machine.feed(numbers[i : i + _PIECE].tolist())
@@ -414,9 +427,3 @@ def decode(
             yield pd.Series(out, dtype=object)
 
     return docs.withColumn(name, decoded(F.col(ids)))
-
-
-@lru_cache(maxsize=4)
-def _encoder(path: str) -> Encoder:
-    """One per worker process, so that its cache of words outlives a task."""
-    return Encoder(vocabulary(path))

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A batch handed to Python holds at most so many bytes, however long the texts.
-_BATCH_BYTES = 16 << 20
+_BATCH_BYTES = 8 << 20
 _SHIPPED: set[str] = set()
 
 
@@ -99,13 +99,18 @@ def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     kept has columns id and digest. Rows that repeat both come once.
     """
     names = docs.columns
-    digest, place = _free("digest", names), _free("place", names)
-    found = docs.withColumn(digest, text_key()).join(
-        kept.select(F.col("id").alias(_free("id", names)), F.col("digest").alias(place)),
-        F.col("doc_id").eqNullSafe(F.col(_free("id", names))) & (F.col(digest) == F.col(place)),
+    key, digest = _free("key", names), _free("digest", names)
+    # Without nulls in the key the join and the last step share one shuffle.
+    found = docs.withColumns({key: _filled("doc_id"), digest: text_key()}).join(
+        kept.select(_filled("id").alias(key), F.col("digest").alias(digest)),
+        [key, digest],
         "left_semi",
     )
-    return found.dropDuplicates(["doc_id", digest]).select(*names)
+    return found.dropDuplicates([key, digest]).select(*names)
+
+
+def _filled(identifier: str) -> Column:
+    return F.coalesce(F.col(identifier).cast("string"), F.lit(""))
 
 
 def rows_with_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
