@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A batch handed to Python holds at most so many bytes, however long the texts.
 _BATCH_BYTES = 8 << 20
+# By application: whether the package was sent, and the folder made for tests.
 _SHIPPED: set[str] = set()
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,11 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _OWN_FOLDERS:
+        _OWN_FOLDERS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="shared-")
+    return _OWN_FOLDERS[context.applicationId]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
