@@ -242,12 +242,13 @@ def prompt_context(
     machine without readings in the period says so. The per-machine lines of
     the fleet are those of `fleet_context`.
 
-    Only the machines that are asked about are computed. A conversation that is
-    given several machines is about the first by id.
+    Only the machines that conversations are about are computed; finding those
+    with an open question first would go through all turns twice. A conversation
+    that is given several machines is about the first by id.
     """
     about = conversation_machines.groupBy("conv_id").agg(F.min("machine_id").alias("machine_id"))
     questions = open_questions(messages, TURN_LIMIT).join(about, "conv_id", "left")
-    wanted = questions.select("machine_id").distinct()
+    wanted = about.select("machine_id").distinct()
     contexts = machine_context(
         readings.join(wanted, "machine_id", "left_semi"),
         verdicts.join(wanted, "machine_id", "left_semi"),
