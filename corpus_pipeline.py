@@ -12,15 +12,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from machinepulse.llm import bpe, content_sort, decontaminate, ngram_join, registry, toxicity
-from machinepulse.llm.common import read, rows_kept, rows_with_id, rows_without, scratch
+from machinepulse.llm.common import (
+    free_name,
+    read,
+    rows_kept,
+    rows_with_id,
+    rows_without,
+    scratch,
+)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; the model learns from docs itself."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), train=toxicity.training_rows())
-    name = "score"
-    while name in docs.columns:
-        name += "_"
+    name = free_name("score", docs.columns)
     return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 

@@ -102,7 +102,7 @@ def rows_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     kept has columns id and digest. Rows that repeat both come once.
     """
     names = docs.columns
-    key, digest = _free("key", names), _free("digest", names)
+    key, digest = free_name("key", names), free_name("digest", names)
     # Without nulls in the key the join and the last step share one shuffle.
     found = docs.withColumns({key: _filled("doc_id"), digest: text_key()}).join(
         kept.select(_filled("id").alias(key), F.col("digest").alias(digest)),
@@ -118,7 +118,7 @@ def _filled(identifier: str) -> Column:
 
 def rows_with_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs, all columns, whose doc_id is in the column id of ids."""
-    name = _free("id", docs.columns)
+    name = free_name("id", docs.columns)
     wanted = ids.select(F.col("id").alias(name)).distinct()
     return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
@@ -129,13 +129,13 @@ def rows_without(docs: DataFrame, found: DataFrame) -> DataFrame:
     found has columns id and version.
     """
     names = docs.columns
-    id_, version = _free("id", names), _free("version", names)
+    id_, version = free_name("id", names), free_name("version", names)
     drop = found.select(F.col("id").alias(id_), F.col("version").alias(version)).distinct()
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(version))
     return docs.join(drop, same, "left_anti").select(*names)
 
 
-def _free(name: str, taken: list[str]) -> str:
+def free_name(name: str, taken: list[str]) -> str:
     """A column name that no column of the input has, in any case."""
     while name.lower() in {t.lower() for t in taken}:
         name = f"{name}_"
