@@ -3,8 +3,8 @@
 Every node of the page's tree gets its characters per tag, adjusted for how
 many of them are links. A node's sum is that of its children's densities. From
 the node with the largest sum the path up to the body gives the threshold, its
-smallest density; below the body, each branch that reaches it contributes its
-subtree of largest sum. Elements that are never part of an article (menus,
+smallest density; every node below the body that reaches it and lies outside
+what is chosen already contributes its subtree of largest sum. Elements that are never part of an article (menus,
 forms, scripts, adverts, comments of readers and so on) count as no text.
 """
 
@@ -254,11 +254,18 @@ def main_text(source: str | None) -> str:
         threshold = min(threshold, density[node])
         node = page.parent[node]
     threshold = min(threshold, density[body])
-    marked = {_article(page, chosen)}
-    for node in range(len(page.tags)):
-        if page.parent[node] == body and node != body and density[node] >= threshold:
-            found = best[node][1] if best[node][0] > 0 else node
-            marked.add(_article(page, found))
+    around = _articles(page)
+    marked = {around[chosen]}
+    # Parents come before children, so this goes down from the body.
+    below, inside = [False] * len(page.tags), [False] * len(page.tags)
+    for node in range(body, len(page.tags)):
+        up = page.parent[node]
+        below[node] = node == body or below[up]
+        inside[node] = node in marked or inside[up]
+        if below[node] and node != body and not inside[node] and density[node] >= threshold:
+            found = around[best[node][1] if best[node][0] > 0 else node]
+            marked.add(found)
+            inside[node] = found <= node
     blocks, end = [], -1
     for node in sorted(marked):
         if page.first[node] >= end:
@@ -267,14 +274,13 @@ def main_text(source: str | None) -> str:
     return " ".join(blocks)
 
 
-def _article(page: Page, node: int) -> int:
-    """The outermost article or main element around a node, or else the node."""
-    found = node
-    while node:
-        if page.tags[node] in ("article", "main"):
-            found = node
-        node = page.parent[node]
-    return found
+def _articles(page: Page) -> list[int]:
+    """For every node the outermost article or main element around it, or else the node."""
+    around = list(range(len(page.tags)))
+    for node, up in enumerate(page.parent):
+        if page.tags[around[up]] in ("article", "main"):
+            around[node] = around[up]
+    return around
 
 
 def extract(pages: DataFrame, source: str = "html", name: str = "text") -> DataFrame:

@@ -45,6 +45,26 @@ def test_without_an_article_element_density_decides():
     assert "link number" not in got and got.count("Paragraph") == 6
 
 
+def paragraphs(first, last):
+    return "".join(f"<p>{k}{'x' * 199}</p>" for k in range(first, last))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div id=content><div>{paragraphs(0, 3)}</div><div>{paragraphs(3, 5)}</div></div>",
+        f"<div><div><div>{paragraphs(0, 1)}</div><div><div>{paragraphs(1, 4)}</div></div>"
+        f"<div>{paragraphs(4, 5)}</div></div></div>",
+        f"<section>{paragraphs(0, 2)}</section><section>{paragraphs(2, 5)}</section>",
+    ],
+)
+def test_sibling_sections_without_an_article_element(body):
+    links = "".join(f"<li><a href='/{k}'>link number {k}</a></li>" for k in range(9))
+    expected = " ".join(f"{k}{'x' * 199}" for k in range(5))
+    assert main_text(page(body)) == expected
+    assert main_text(page(f"<div><ul>{links}</ul></div>{body}")) == expected
+
+
 def test_references_and_white_space():
     assert main_text("<p>a&nbsp;&lt;b&gt; &amp;amp; &#228;&eacute; \t c<br>d</p>") == "a <b> &amp; äé c d"
     assert main_text("<p>one</p>two<div>three<span> four</span></div>") == "one two three four"
