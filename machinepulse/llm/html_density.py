@@ -5,7 +5,8 @@ many of them are links. A node's sum is that of its children's densities. From
 the node with the largest sum the path up to the body gives the threshold, its
 smallest density; every node below the body that reaches it and lies outside
 what is chosen already contributes its subtree of largest sum. Elements that are never part of an article (menus,
-forms, scripts, adverts, comments of readers and so on) count as no text.
+forms, scripts, adverts, comments of readers and so on) count as no text. Names
+alone never remove what holds the article or most of the page's text.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ _MARKUP = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noframes"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = set(
@@ -53,6 +55,27 @@ _NOISE_NAMES = set(
 _NOISE_BEGINNING = re.compile(
     r"advert|cookie|sidebar|newsletter|breadcrumb|sponsor|navbar|subscri|disqus|paginat|commentlist"
 )
+# What readers write, of whatever length.
+_READERS = set("comment comments disqus reply replies respond".split())
+# Names that are everyday words too: noise only where at most words of layout
+# follow, as in share-buttons, not in share-price.
+_SUBJECTS = set(
+    "ad ads advertising share sharing social related recommended recommendations comment notice "
+    "notices promotion subscription disclaimer copyright consent cookie cookies menu navigation "
+    "sponsor sponsored overlay newsletter reply".split()
+)
+_LAYOUT = set(
+    "a area article articles bar banner block body bottom box btn button buttons card cards "
+    "center col column container content count counter desktop dropdown entries entry fixed form "
+    "foot footer grid group head header heading horizontal icon icons inline inner item items "
+    "label large left leaderboard link links list main media mobile module network networks news "
+    "outer overlay page pages panel placeholder popup post posts primary rail rectangle right row "
+    "secondary section sections small slot slots stories story sticky tab tabs text thread "
+    "title toggle toolbar tools top unit units vertical video videos view widget widgets wrap "
+    "wrapper zone".split()
+)
+# The parts of a compound after one of these say what is there or not there beside the node.
+_BESIDE = {"no", "has", "with", "without"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _NOISE_ROLES = set(
     "navigation banner contentinfo complementary search form dialog alert menu menubar".split()
@@ -80,6 +103,8 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.tags, self.parent, self.noise = ["#root"], [0], [False]
+        # Nodes whose class or id names noise, and whether it names readers' comments.
+        self._named: dict[int, bool] = {}
         self.first, self.last = [0], [0]
         self.events: list[tuple[int, str | None]] = []
         self._open, self._counts = [0], {}
@@ -87,6 +112,8 @@ class Page:
         while len(self._open) > 1:
             self._close()
         self.last[0] = len(self.events)
+        if self._named:
+            self._settle()
 
     def _parse(self, source: str) -> None:
         at, end = 0, len(source)
@@ -123,6 +150,10 @@ class Page:
         self.tags.append(tag)
         self.parent.append(parent)
         self.noise.append(self.noise[parent] or self._is_noise(tag, attrs))
+        if not self.noise[node]:
+            names = self._noise_names(tag, attrs)
+            if names:
+                self._named[node] = bool(names & _READERS)
         if tag in _BLOCKS:
             self.events.append((node, None))
         self.first.append(len(self.events))
@@ -166,19 +197,66 @@ class Page:
             return False
         for name, value in _ATTRIBUTE.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id"):
-                parts = re.split(r"[^a-z0-9]+", value)
-                noise = {p for p in parts if p in _NOISE_NAMES or _NOISE_BEGINNING.match(p)}
-                # What heads an article is part of it.
-                if noise - {"header"} or noise and tag not in _HEADINGS and not self._in_article():
-                    return True
             if name == "role" and value in _NOISE_ROLES:
                 return True
             if name == "aria-hidden" and value == "true":
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-        return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attrs))
+        # What is left are names without a value.
+        return bool(re.search(r"(?:^|\s)hidden\s*(?:[\s/=]|$)", _VALUE.sub("= ", attrs), re.I))
+
+    def _noise_names(self, tag: str, attrs: str) -> set[str]:
+        """The parts of class and id that name noise."""
+        if tag in _STRUCTURE or not attrs.strip():
+            return set()
+        names = set()
+        for name, value in _ATTRIBUTE.findall(attrs):
+            if name.lower() in ("class", "id"):
+                for compound in value.strip("\"'").lower().split():
+                    names |= _noise_parts(compound)
+        # What heads an article is part of it.
+        if names == {"header"} and (tag in _HEADINGS or self._in_article()):
+            return set()
+        return names
+
+    def _settle(self) -> None:
+        """Make noise of the nodes named so, unless they hold the article or most of the text.
+
+        The article is the longest article element, and the longest main. An
+        article elsewhere that is a quarter as long as the node, or any text
+        elsewhere beside readers' comments, speaks against the node.
+        """
+        n = len(self.tags)
+        plain, linked, in_link = [0] * n, [0] * n, [False] * n
+        for node in range(1, n):
+            in_link[node] = self.tags[node] == "a" or in_link[self.parent[node]]
+        for node, text in self.events:
+            if text:
+                (linked if in_link[node] else plain)[node] += len(text) - text.count(" ")
+        for node in range(n - 1, 0, -1):
+            plain[self.parent[node]] += plain[node]
+            linked[self.parent[node]] += linked[node]
+        body = self.tags.index("body") if "body" in self.tags else 0
+        holders, longest = set(), 0
+        for tag in ("article", "main"):
+            held = max((i for i in range(n) if self.tags[i] == tag), key=lambda i: plain[i], default=0)
+            longest = max(longest, plain[held] if held else 0)
+            while held and plain[held] and held not in holders:
+                holders.add(held)
+                held = self.parent[held]
+        for node in range(1, n):
+            if self.noise[self.parent[node]]:
+                self.noise[node] = True
+            elif node in self._named and node not in holders:
+                if self._named[node]:
+                    most = not longest and 10 * plain[node] > 9 * plain[body]
+                else:
+                    most = 2 * plain[node] > plain[body] and 4 * longest < plain[node]
+                self.noise[node] = not most
+        self.events = [
+            (node, "" if text and self.noise[node] else text) for node, text in self.events
+        ]
 
     def _in_article(self) -> bool:
         return any(self.tags[n] in ("article", "main") for n in self._open)
@@ -196,6 +274,22 @@ class Page:
                 block = []
 
 
+def _noise_parts(compound: str) -> set[str]:
+    """The parts of one name that say it is noise, such as sidebar in left-sidebar."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", compound) if p]
+    beside = next((i for i, p in enumerate(parts) if p in _BESIDE), len(parts))
+    parts = parts[:beside]
+    found = set()
+    for i, part in enumerate(parts):
+        if part in _SUBJECTS:
+            rest = parts[i + 1 :]
+            if all(p in _LAYOUT or p in _NOISE_NAMES or re.search(r"\d", p) for p in rest):
+                found.add(part)
+        elif part in _NOISE_NAMES or _NOISE_BEGINNING.match(part):
+            found.add(part)
+    return found
+
+
 def densities(page: Page) -> tuple[list[float], list[float], int]:
     """Composite density and sum of child densities per node, and the body's place."""
     n = len(page.tags)

@@ -65,6 +65,42 @@ def test_sibling_sections_without_an_article_element(body):
     assert main_text(page(f"<div><ul>{links}</ul></div>{body}")) == expected
 
 
+WRAPPERS = ["content no-sidebar", "has-sidebar", "layout-sidebar-right", "with-navbar", "widget-area-main"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_wrappers_named_after_what_is_beside_them(name, kind):
+    beside = "<div class=sidebar><p>Something else is said here.</p></div>"
+    assert main_text(page(f"<div {kind}='{name}'>{ARTICLE}{beside}</div>")).startswith("Title First")
+    plain = f"<div {kind}='{name}'><div>{paragraphs(0, 3)}</div><div>{paragraphs(3, 5)}</div></div>{beside}"
+    assert main_text(page(plain)) == " ".join(f"{k}{'x' * 199}" for k in range(5))
+
+
+@pytest.mark.parametrize(
+    "attrs",
+    [
+        "class='share-price'", "class='social-policy'", "id=related-work", "title='the hidden story'",
+        "class='a hidden b'", "data-x=hidden", "class=section-without-comments",
+    ],
+)
+def test_sections_of_an_article_that_names_do_not_drop(attrs):
+    body = f"<article><p>One.</p><div {attrs}><p>Two.</p></div><p>Three.</p></article>"
+    assert main_text(page(body)) == "One. Two. Three."
+
+
+@pytest.mark.parametrize(
+    "attrs",
+    [
+        "hidden", "title='x' hidden", "hidden=''", "HIDDEN id=a", "class=share-buttons", "class='x social-links'",
+        "id=related-posts", "class='left-sidebar no-border'", "class=cookie-notice", "class=comments-area",
+    ],
+)
+def test_sections_of_an_article_that_are_dropped(attrs):
+    body = f"<article><p>One.</p><div {attrs}><p>Two.</p></div><p>Three.</p></article>"
+    assert main_text(page(body)) == "One. Three."
+
+
 def test_references_and_white_space():
     assert main_text("<p>a&nbsp;&lt;b&gt; &amp;amp; &#228;&eacute; \t c<br>d</p>") == "a <b> &amp; äé c d"
     assert main_text("<p>one</p>two<div>three<span> four</span></div>") == "one two three four"
