@@ -9,6 +9,8 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from html.entities import html5
 from string import ascii_lowercase, ascii_uppercase
 from typing import NamedTuple
 
@@ -17,6 +19,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from machinepulse.llm.components import connected_components
 
 
+_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+_SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
+_SITE = "^[^/?#]*://[^/?#]*"
+# A character reference as attributes have it, text without any, or a lone &.
+_PIECES = r"(?s)&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*(?:;|(?![=a-zA-Z0-9])))|[^&]+|&"
+# Named references, and numbers that stand for letters of windows-1252.
+_REFERENCES = html5 | {
+    f"#{k}": bytes([k]).decode("cp1252") for k in range(128, 160) if k not in (129, 141, 143, 144, 157)
+}
+
+
 class Rule(NamedTuple):
     """Fits a host and its subdomains where the path begins with path."""
 
@@ -56,36 +70,129 @@ def _ruling(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): an address and where its canonical link or its refresh points."""
+    """(a, b): an address and where each of its canonical links and refreshes points."""
     url, html = F.col("url"), F.coalesce("html", F.lit(""))
-    link = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    meta = F.regexp_extract(
-        html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0
-    )
-    targets = F.array(
-        F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
-        F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1),
+    links = F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(0))
+    metas = F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(0))
+    targets = F.concat(
+        F.transform(links, lambda tag: _attribute(tag, "href")), F.transform(metas, _refresh)
     )
+
+    def target(to: Column) -> Column:
+        return address(_resolved(F.col("a"), to))
+
     return (
         pages.where(url.isNotNull())
         .select(address(url).alias("a"), F.explode(targets).alias("to"))
         .where("to != ''")
-        .select("a", address(_resolved(F.col("a"), F.replace("to", F.lit("&amp;"), F.lit("&")))).alias("b"))
+        .select("a", _once(F.regexp_replace(_decoded(F.col("to")), r"^\s+|\s+$|[\t\r\n]", ""), target).alias("b"))
+        .where("b IS NOT NULL")
     )
 
 
 def address(url: Column) -> Column:
-    """What a page is known by: the url up to #."""
-    return F.substring_index(url, "#", 1)
+    """What a page is known by: the url up to #, scheme and host in lower case, no dot segments."""
+
+    def cased(whole: Column, site: Column) -> Column:
+        rest = F.substring(whole, F.length(site) + 1, F.length(whole))
+        path = _once(F.regexp_extract(rest, "^[^?]*", 0), _without_dots)
+        query = F.regexp_extract(rest, r"(?s)\?.*", 0)
+        lower = F.translate(site, ascii_uppercase, ascii_lowercase)
+        return F.when(site == "", whole).otherwise(F.concat(lower, path, query))
+
+    def of(whole: Column) -> Column:
+        return _once(F.regexp_extract(whole, _SCHEME + "//[^/?]*", 0), lambda site: cased(whole, site))
+
+    return _once(F.substring_index(url, "#", 1), of)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value stands once in the plan however often use has it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path after its . and .. segments were followed."""
+    segments = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done)
+        .when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    # What ends in a dot segment is a folder.
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(
+        path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+    ).otherwise(path)
+
+
+def _first_group(text: Column, pattern: str) -> Column:
+    """The one of the pattern's three groups that took part."""
+    return F.concat(*(F.regexp_extract(text, pattern, k) for k in (1, 2, 3)))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute as spelled; empty if there is none."""
+    return _first_group(
+        tag, rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^"'\s>]+))"""
+    )
+
+
+def _refresh(tag: Column) -> Column:
+    """Where a refresh leads, quoted or not, after its seconds; empty if it stays."""
+    content = _attribute(tag, "content")
+    start = r"^\s*(?:[\d.]*\s*[;,]?\s*url\s*=\s*|[\d.]+\s*[;,\s]\s*)"
+    found = _first_group(content, rf"""(?is){start}(?:"([^"]*)|'([^']*)|([^"'].*))""")
+    # A content without quotes ends at the first space.
+    bare = F.regexp_extract(tag, r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
+    return F.when(found != "", found).otherwise(bare)
+
+
+def _decoded(text: Column) -> Column:
+    """text with its character references replaced, as in the value of an attribute."""
+    known = F.str_to_map(
+        F.lit("\x02".join(f"{k}\x01{v}" for k, v in _REFERENCES.items())), F.lit("\x02"), F.lit("\x01")
+    )
+
+    def letter(point: Column) -> Column:
+        plain = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(known, F.concat(F.lit("#"), point)), plain)
+
+    def point(number: Column) -> Column:
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        return F.when(valid, number).otherwise(0xFFFD)
+
+    def number(p: Column) -> Column:
+        # Anything longer than eight digits is no letter.
+        digits = F.substring(F.regexp_extract(p, "^&#[xX]?0*([0-9a-fA-F]*)", 1), 1, 9)
+        read = F.when(p.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+        return F.coalesce(read.try_cast("long"), F.lit(0))
+
+    def piece(p: Column) -> Column:
+        numbered = _once(number(p), lambda n: _once(point(n), letter))
+        named = F.coalesce(F.try_element_at(known, F.substring(p, F.lit(2), F.length(p))), p)
+        return F.when(p.rlike("^&#[xX]?[0-9a-fA-F]"), numbered).when(p.rlike("^&."), named).otherwise(p)
+
+    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, piece), "")).otherwise(text)
 
 
 def _resolved(base: Column, to: Column) -> Column:
-    site = F.regexp_extract(base, "^([^/?#]*://[^/?#]*)", 1)
+    """The url that a link on base means; null for one that is not of the form scheme://."""
+    site = F.regexp_extract(base, _SITE, 0)
+    folder = F.regexp_extract(base, f"{_SITE}(?:[^?#]*/)?", 0)
+    folder = F.when((folder == "") | folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
     return (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat(F.substring_index(base, "//", 1), to))
+        F.when(to == "", F.lit(None))
+        .when(to.rlike(f"{_SCHEME}//"), to)
+        .when(to.rlike(_SCHEME), F.lit(None))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(base, "^[^/?#]*:(?=//)", 0), to))
         .when(to.startswith("/"), F.concat(site, to))
-        .otherwise(F.concat(F.regexp_extract(base, "^([^?#]*://[^/?#]*(?:[^?#]*/)?)", 1), to))
+        .when(to.startswith("?"), F.concat(F.substring_index(base, "?", 1), to))
+        .when(to.startswith("#"), base)
+        .otherwise(F.concat(folder, to))
     )
 
 

@@ -146,6 +146,48 @@ def test_blocks_reach_aliases_and_allows_hold(spark):
     assert hosts[12] == ("com", "")
 
 
+@pytest.mark.parametrize(
+    ("url", "html", "targets"),
+    [
+        ("http://h/a", canonical("http://s/1") + canonical("http://s/2"), ["http://s/1", "http://s/2"]),
+        ("HTTP://H.Org/A#x", canonical("Https://S.Net/B?C#d"), ["https://s.net/B?C"]),
+        ("https://h/a/b", canonical("?x=1"), ["https://h/a/b?x=1"]),
+        ("https://h/a/b?y", canonical("../c/./d/.."), ["https://h/c/"]),
+        ("https://h/a/b", canonical("./e"), ["https://h/a/e"]),
+        ("https://h/a/b", canonical("../../../.."), ["https://h/"]),
+        ("http://h", canonical("x"), ["http://h/x"]),
+        ("http://h?q=/", canonical("x"), ["http://h/x"]),
+        ("http://h/a/", canonical("//s/b") + canonical("/c"), ["http://h/c", "http://s/b"]),
+        ("http://h/", canonical("/l?next=http://s/"), ["http://h/l?next=http://s/"]),
+        ("http://h/", canonical("mailto:a@b.c"), []),
+        (
+            "http://h/",
+            canonical("&#47;a&#x2F;b&sol;c?d&copy=1&amp;e&eacute;&#233;&#128;&#xD800;&#99999999999;&x;&"),
+            ["http://h/a/b/c?d&copy=1&eéé€\ufffd\ufffd&x;&"],
+        ),
+        (
+            "http://h/",
+            "<meta http-equiv=refresh content='0; URL=\"/a;b&amp;c\"'><META content=\"5;url=d&amp;e\" "
+            "HTTP-EQUIV='refresh'><meta http-equiv=refresh content=9><meta http-equiv=refresh content=0;url=f>",
+            ["http://h/a;b&c", "http://h/d&e", "http://h/f"],
+        ),
+    ],
+)
+def test_every_edge_of_a_page(spark, url, html, targets):
+    edges = found(url_filter.page_edges(pages(spark, (1, url, html))), "a", "b")
+    assert sorted(b for _, b in edges) == targets
+    assert {a for a, _ in edges} <= {url.replace("HTTP://H.Org/A#x", "http://h.org/A")}
+
+
+def test_blocks_reach_aliases_spelled_otherwise(spark):
+    rows = [
+        (1, "http://x.org/a", canonical("http://y.org/") + canonical("../z/../es&#47;b")),
+        (2, "http://X.ORG/a", ""), (3, "http://x.org/es/b", canonical("HTTP://Spam.NET/es/")),
+    ]
+    got = url_filter.judge(pages(spark, *rows), registry.RULES)
+    assert dict(found(got, "page_id", "verdict")) == {1: "block", 2: "block", 3: "block"}
+
+
 def test_given_redirects_count(spark):
     rows = [(1, "http://a.org/", ""), (2, "http://b.org/", "")]
     redirects = spark.createDataFrame(
