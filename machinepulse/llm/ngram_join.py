@@ -14,8 +14,9 @@ Only components are asked for, so a list of m near copies is not turned into
 m * m pairs. Each set is first compared with the pivot it shares most lists
 with. In lists whose members are then in several components, the sets outside
 the largest one are looked at again: all sets scan their inverted lists, which
-each task holds in blocks of bounded size. Where they are too many for that,
-further pivots are compared, and what these leave open is compared in full.
+each task holds in blocks of bounded size. Where many blocks would be needed,
+further pivots first make such sets fewer; what these leave open is scanned too,
+in as many blocks as it takes. Pairs of open sets are never emitted.
 """
 
 from __future__ import annotations
@@ -39,14 +40,14 @@ from machinepulse.llm.components import connected_components
 BROADCAST_ROWS = 1_000_000
 # Sizes above this never enumerate subsets, whatever the costs.
 _LARGEST_LIGHT = 24
-# N-grams of the sets that one scan holds in every task (24 MB), and the most
-# scans there are before pivots make such sets fewer.
+# N-grams of the sets that one scan holds in every task (24 MB), and the number
+# of scans above which pivots are to make such sets fewer first.
 _SCAN_GRAMS = 3_000_000
 _MOST_SCANS = 24
 # Sets in a partition of a scan, a few MB.
 _SETS = 2_000
-# Turns of comparison with pivots before full comparison comes in any case, and
-# pivots of a list in one turn.
+# Turns of comparison with pivots before the scans come in any case, and pivots
+# of a list in one turn.
 _PIVOT_TURNS = 8
 _MOST_PIVOTS = 64
 # Postings or pairs in a partition, about 10 MB.
@@ -246,12 +247,12 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         members = stored(connected_components(links), "components")
         unsettled = stored(_unsettled(postings, members, parts), "unsettled")
         _release(spark)
-        rows, open_pairs = _work(unsettled)
+        rows = unsettled.count()
         if not rows:
             return members
         outside = stored(_outsiders(unsettled, sets, parts), "outsiders")
         scans = partitions(outside.agg(F.sum("n")).first()[0], _SCAN_GRAMS)
-        if scans <= _MOST_SCANS:
+        if scans <= _MOST_SCANS or turn == _PIVOT_TURNS:
             labelled = sets.join(members, "node", "left").select(
                 "n", "grams", F.coalesce("component", "node").alias("component")
             )
@@ -260,11 +261,6 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
                 block = outside.where(F.pmod(F.xxhash64("node"), F.lit(scans)) == scan)
                 links = links.unionByName(stored(_scanned(labelled, block, percent), "links"))
             return stored(connected_components(links), "components")
-        # Too many for scans: pivots until comparing all is linear work, or they
-        # have had their turns.
-        if open_pairs <= total or turn == _PIVOT_TURNS:
-            links = links.unionByName(_linked(_pairs(unsettled, percent), sets, percent))
-            return stored(connected_components(links), "components")
         count = max(1, min(_MOST_PIVOTS, total // rows))
         pivots = stored(_pivots(unsettled, count, turn).coalesce(parts), "pivots")
         met = _meetings(unsettled, pivots, percent).coalesce(parts)
@@ -526,28 +522,6 @@ def _scanned(labelled: DataFrame, block: DataFrame, percent: int) -> DataFrame:
     return labelled.select("component", "n", "grams").mapInArrow(scan, "a long, b long")
 
 
-def _work(unsettled: DataFrame) -> tuple[int, float]:
-    """The postings, and the pairs of list members in different components."""
-    sizes = unsettled.groupBy("gram", "component").agg(F.count("*").cast("double").alias("k"))
-    lists = sizes.groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("own"))
-    row = lists.agg(
-        F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")
-    ).first()
-    return int(row.rows or 0), row.pairs or 0.0
-
-
-def _pairs(unsettled: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of all members of a list in different components that the bounds allow."""
-    other = unsettled.select("gram", F.struct("node", "n", "place", "component").alias("other"))
-    apart = (F.col("node") < F.col("other.node")) & (F.col("component") != F.col("other.component"))
-    return (
-        unsettled.join(other, "gram")
-        .where(apart & _can_link(percent, "other"))
-        .select(F.col("node").alias("a"), F.col("other.node").alias("b"))
-        .distinct()
-    )
-
-
 def _pivots(unsettled: DataFrame, count: int, turn: int) -> DataFrame:
     """(gram, node, n, place, component): members of each list outside its largest component.
 

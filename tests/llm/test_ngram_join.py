@@ -89,6 +89,29 @@ def test_pivot_turns_lose_nothing(spark, monkeypatch, turns):
     assert [tuple(r) for r in near_duplicates(texts(spark, *rows)).orderBy("doc_id").collect()] == brute(rows)
 
 
+def test_open_sets_are_scanned_at_every_size(spark, monkeypatch):
+    """Above the bound of scans too, no pairs of open sets are compared."""
+    calls = Counter()
+
+    def counted(name):
+        whole = getattr(ngram_join, name)
+
+        def call(*args):
+            calls[name] += 1
+            return whole(*args)
+
+        monkeypatch.setattr(ngram_join, name, call)
+
+    for name in ("_linked", "_scanned"):
+        counted(name)
+    monkeypatch.setattr(ngram_join, "_MOST_SCANS", 1)
+    monkeypatch.setattr(ngram_join, "_PIVOT_TURNS", 0)
+    monkeypatch.setattr(ngram_join, "_SCAN_GRAMS", 500)
+    rows = near_copies(7, low=20)
+    assert [tuple(r) for r in near_duplicates(texts(spark, *rows)).orderBy("doc_id").collect()] == brute(rows)
+    assert calls["_linked"] == 1 and calls["_scanned"] > 1
+
+
 def test_edges_of_the_contract(spark):
     eleven = [f"v{k}" for k in range(14)]  # 10 shingles
     rows = [
