@@ -14,6 +14,7 @@ from machinepulse.llm import (
     html_density,
     language,
     ngram_join,
+    period_runs,
     secrets,
     statements,
     toxicity,
@@ -131,6 +132,47 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", _repeated().alias("text"))
+    found = period_runs.find(docs).select("doc_id", "periodic.*")
+    longest = F.get(
+        F.array_sort(
+            F.transform(
+                "runs",
+                lambda r: F.struct(
+                    (-r["length"]).alias("order"), r["start"].alias("start"),
+                    r["period"].alias("period"), r["length"].alias("length"),
+                ),
+            )
+        ),
+        F.lit(0),
+    )
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(longest[field].alias(field) for field in ("start", "length", "period")),
+        F.floor(F.try_divide(1000 * longest["length"], longest["period"])).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _repeated() -> Column:
+    """The text, of which a tenth by hash repeats a stretch of words up to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    g, n = F.floor(h / 10), F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+    return F.when(
+        (h % 10 == 0) & (n > 0), F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+    ).otherwise(F.col("text"))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """What op8 returns, from documents with ids and decoded."""
     return docs.select(

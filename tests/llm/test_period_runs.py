@@ -1,0 +1,168 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from machinepulse.llm import period_runs, registry
+from tests.llm.rows import found, texts
+
+
+def brute(words: list, least: int) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all runs: every period tried at every place."""
+    runs: dict[tuple[int, int], int] = {}
+    n = len(words)
+    for period in range(1, n // 2 + 1):
+        place = 0
+        while place < n - period:
+            end = place
+            while end < n - period and words[end] == words[end + period]:
+                end += 1
+            size = end + period - place
+            if end > place and size >= max(least, 2 * period):
+                runs.setdefault((place, size), period)
+            place = end + 1
+    return sorted((s, n, p) for (s, n), p in runs.items())
+
+
+def random_words(rng: random.Random) -> list[int]:
+    n = rng.randrange(80)
+    words = [rng.randrange(rng.choice([1, 2, 3, 9])) for _ in range(n)]
+    if n and rng.random() < 0.5:
+        begin, period = rng.randrange(n), rng.randrange(1, n + 1)
+        words = [w if i < begin else words[begin + (i - begin) % period] for i, w in enumerate(words)]
+    return words
+
+
+@pytest.mark.parametrize("least", [2, 3, 5, 8, 12, 13])
+def test_runs_are_those_of_trying_every_period(least):
+    rng = random.Random(least)
+    for _ in range(400):
+        words = random_words(rng)
+        got = zip(*(column.tolist() for column in period_runs.runs(np.array(words, np.int64), least)))
+        assert sorted(got) == brute(words, least) if words else True
+
+
+def test_suffixes_prefixes_and_children_are_right():
+    rng = random.Random(2)
+    words = [rng.randrange(3) for _ in range(300)] + [1, 2] * 40
+    order, rank, levels = period_runs.suffix_array(np.array(words, np.int64))
+    assert order.tolist() == sorted(range(len(words)), key=lambda i: words[i:])
+    assert rank[order].tolist() == list(range(len(words)))
+
+    def shared(i, j):
+        n = 0
+        while max(i, j) + n < len(words) and words[i + n] == words[j + n]:
+            n += 1
+        return n
+
+    lcp = [0] + [shared(order[k - 1], order[k]) for k in range(1, len(words))]
+    places, depths = period_runs.common_prefixes(order, levels, 3)
+    assert dict(zip(places.tolist(), depths.tolist())) == {k: d for k, d in enumerate(lcp) if d >= 3}
+    left, right = period_runs.children(places, depths)
+    for place, d, low, high in zip(places.tolist(), depths.tolist(), left.tolist(), right.tolist()):
+        assert min(lcp[low + 1 : place + 1]) == d and lcp[low] < d
+        assert all(x > d for x in lcp[place + 1 : high]) and (high == len(lcp) or lcp[high] <= d)
+
+
+def test_squares_branch_and_none_is_missing():
+    rng = random.Random(5)
+    words = [rng.randrange(2) for _ in range(200)]
+    starts, periods = period_runs.branching_squares(np.array(words, np.int64), 1)
+    expected = {
+        (i, p)
+        for p in range(1, 101)
+        for i in range(201 - 2 * p)
+        if words[i : i + p] == words[i + p : i + 2 * p]
+        and (i + 2 * p == 200 or words[i + p] != words[i + 2 * p])
+    }
+    pairs = list(zip(starts.tolist(), periods.tolist()))
+    assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+
+
+def test_checks_made_in_parts_find_the_same(monkeypatch):
+    words = np.array([1, 2, 3] * 50 + [4] * 60, np.int64)
+    whole = [c.tolist() for c in period_runs.runs(words)]
+    monkeypatch.setattr(period_runs, "_CHECKS", 7)
+    assert [c.tolist() for c in period_runs.runs(words)] == whole
+
+
+def test_texts_with_nulls_blanks_ties_and_repeats(spark):
+    table = texts(
+        spark,
+        (1, None),
+        (2, ""),
+        (3, " \t\n"),
+        (4, "a b " * 6 + "c"),
+        (4, "a b " * 6 + "c"),
+        (None, "x\x0bx\x0cx\rx\u00a0y " + "ä\u2003ö " * 12),
+        # Two runs of one length: the first counts as the longest.
+        (5, "p q " * 6 + "- " + "r s " * 6),
+    )
+    got = period_runs.find(table).select("doc_id", "id", "periodic.*")
+    rows = {(r.doc_id, r.n_words): ([tuple(x) for x in r.runs], r.collapsed) for r in got.collect()}
+    assert rows == {
+        (1, 0): ([], ""),
+        (2, 0): ([], ""),
+        (3, 0): ([], ""),
+        (4, 13): ([(0, 12, 2)], "a b c"),
+        (None, 16): ([(4, 12, 1)], "x x x x\u00a0y ä\u2003ö"),
+        (5, 25): ([(0, 12, 2), (13, 12, 2)], "p q - r s"),
+    }
+    assert got.count() == 7
+    assert period_runs.find(table.limit(0)).collect() == []
+
+
+def test_texts_of_one_batch_do_not_run_into_each_other(spark):
+    half = "a b c d e f"
+    table = texts(spark, (1, half), (2, half), (3, f"{half} {half}"), (4, "w " * 100_000))
+    got = period_runs.find(table.coalesce(1)).select("doc_id", "periodic.runs")
+    assert {r.doc_id: [tuple(x) for x in r.runs] for r in got.collect()} == {
+        1: [], 2: [], 3: [(0, 12, 6)], 4: [(0, 100_000, 1)],
+    }
+
+
+def test_the_length_of_a_run_is_checked(spark):
+    with pytest.raises(ValueError, match="two words"):
+        period_runs.find(texts(spark, (1, "a")), least=1)
+
+
+def expected(doc_id: int | None, text: str | None) -> tuple:
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    runs = brute(words, 12)
+    longest = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+    dropped = {i for s, size, p in runs for i in range(s + p, s + size)}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (
+        doc_id,
+        len(runs),
+        *longest,
+        1000 * longest[1] // longest[2] if runs else None,
+        sha("".join(f"{s},{size},{p}\n" for s, size, p in sorted(runs, key=lambda r: (r[0], r[2])))),
+        sha(" ".join(w for i, w in enumerate(words) if i not in dropped)),
+    )
+
+
+def test_the_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, " ".join(map(str, random_words(rng)))) for i in range(300)]
+    rows += [(None, "a b " * 9), (300, None), (301, ""), (302, " one two"), (302, " one two")]
+    texts(spark, *rows).write.parquet(f"{tmp_path}/documents.parquet")
+    columns = (
+        "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256".split()
+    )
+    got = found(registry.op11_period_runs(spark, str(tmp_path)), *columns)
+    assert got == sorted(
+        (expected(*row) for row in rows), key=lambda r: tuple((v is not None, str(v)) for v in r)
+    )
