@@ -29,9 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from machinepulse.llm.common import bounded_batches
+from machinepulse.llm.word_numbers import numbered, together
 
-# Texts of about so many words share a suffix array; a longer text has its own.
-_WORDS = 1 << 16
 # Checks of smaller children made at once.
 _CHECKS = 1 << 20
 
@@ -236,15 +235,9 @@ def find(
 def _described(texts: pa.Array, least: int) -> pa.Array:
     sizes, counts, collapsed = [], [], []
     columns: list[list[np.ndarray]] = [[], [], []]
-    for split in _together(texts):
-        # Words of each text are numbered on from the last of the one before.
-        numbers, base = [], 0
-        for words in split:
-            known: dict[bytes, int] = {}
-            numbers += [base + known.setdefault(w, len(known)) for w in words]
-            base += len(known)
-        length = np.array([len(words) for words in split], np.int64)
-        tokens, first = np.array(numbers, np.int64), np.cumsum(length) - length
+    for split in together(texts):
+        tokens, first = numbered(split)
+        length = np.append(first[1:], len(tokens)) - first
         start, size, period = runs(tokens, least) if len(tokens) else (tokens,) * 3
         owner = np.searchsorted(first, start, side="right") - 1
         for column, values in zip(columns, (start - first[owner], size, period)):
@@ -274,19 +267,3 @@ def _described(texts: pa.Array, least: int) -> pa.Array:
         ],
         ["n_words", "runs", "collapsed"],
     )
-
-
-def _together(texts: pa.Array) -> Iterator[list[list[bytes]]]:
-    """The words of the texts in order, texts of about _WORDS words at a time."""
-    split: list[list[bytes]] = []
-    n = 0
-    for text in texts.cast(pa.binary()):
-        # Without an argument bytes are split at ASCII white space alone.
-        words = (text.as_py() or b"").split()
-        if split and n + len(words) > _WORDS:
-            yield split
-            split, n = [], 0
-        split.append(words)
-        n += len(words)
-    if split:
-        yield split

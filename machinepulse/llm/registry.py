@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from machinepulse.llm import (
     bpe,
+    compression_bands,
     content_sort,
     decontaminate,
     html_density,
     language,
+    lexical_search,
     ngram_join,
     period_runs,
     secrets,
@@ -173,6 +175,20 @@ def _repeated() -> Column:
     ).otherwise(F.col("text"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fields = (
+        "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept ratio verdict"
+    )
+    return compression_bands.judge(docs).select(
+        "doc_id", *(F.col(f"quality.{field}") for field in fields.split())
+    )
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """What op8 returns, from documents with ids and decoded."""
     return docs.select(

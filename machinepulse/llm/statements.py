@@ -244,6 +244,49 @@ FROM docs LEFT JOIN hit USING (row) LEFT JOIN listed USING (row)
 """
 
 
+OP12 = r"""
+WITH pieces AS (
+    SELECT row, doc_id, term, count(*) AS tf
+    FROM (
+        SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM documents
+    )
+    GROUP BY row, doc_id, term
+),
+sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM pieces GROUP BY row),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+wanted AS (
+    SELECT item, item_id, term, count(*) AS times
+    FROM (
+        SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    )
+    GROUP BY item, item_id, term
+),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM pieces, whole WHERE term IN (SELECT term FROM wanted) GROUP BY term, n_docs
+),
+scores AS (
+    SELECT item, item_id, row, doc_id,
+           sum(times * w * ((1000000000 * tf)
+               // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN pieces USING (term) JOIN sizes USING (row), whole
+    GROUP BY item, item_id, row, doc_id
+),
+ranked AS (
+    SELECT item_id, doc_id, score, CAST(row_number() OVER (
+        PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def all_statements() -> dict[str, str]:
     return {
         "op3_content_sort": OP3,
@@ -251,4 +294,5 @@ def all_statements() -> dict[str, str]:
         "op6_secrets": _op6(),
         "op9_url_filter": _op9(),
         "op10_decontaminate": OP10,
+        "op12_lexical_search": OP12,
     }

@@ -1,0 +1,123 @@
+from __future__ import annotations
+
+import base64
+import random
+import re
+from collections import Counter
+
+import zstandard
+from pyspark.sql import functions as F
+
+from machinepulse.llm import compression_bands, registry
+from tests.llm.rows import found, texts
+
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def brute(text: str | None) -> tuple:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    counts = Counter(windows)
+    repeated = {i + j for i, w in enumerate(windows) if counts[w] > 1 for j in range(5)}
+    lines = [line for line in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    return (
+        len(words),
+        sum(map(len, words)),
+        len(re.findall(r"[#*$%&|<>]", text or "")),
+        sum(line in lines[:i] for i, line in enumerate(lines)),
+        len(repeated),
+        len(words) < 10 or 100 * len(repeated) > 20 * len(words),
+    )
+
+
+def prose(rng: random.Random, n: int) -> str:
+    parts = "the of and in to ing er ed ti on ly re an as st nd wh ou ha es ea".split()
+    return " ".join("".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(n))
+
+
+def test_base_counts_are_those_of_plain_loops(spark):
+    rng = random.Random(1)
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "a|b #c\n\na|b #c\n \na|b #c\r\n"), (4, "a b c d e a b c d e")]
+    rows += [(5, "ä ö  x\x0by\x0cz\rw <>"), (None, "a b c d e f " * 3), (6, "w " * 70_000)]
+    rows += [(i, "\n".join(rng.choice(["a b", "b a", "", "c"]) for _ in range(40))) for i in range(50, 90)]
+    rows += [(i, prose(rng, rng.randrange(30))) for i in range(100, 200)]
+    got = compression_bands.judge(texts(spark, *rows).coalesce(2)).select("doc_id", "id", "quality.*")
+    assert found(got, "doc_id", *BASE) == sorted(
+        ((i, *brute(t)) for i, t in rows), key=lambda r: tuple((v is not None, str(v)) for v in r)
+    )
+
+
+def test_repetitive_and_random_texts_are_told_from_prose(spark):
+    rng = random.Random(2)
+    noise = lambda n: base64.b64encode(rng.randbytes(n)).decode()
+    spaced = " ".join(noise(30) for _ in range(300))
+    ordinary = {f"prose {n}": prose(rng, n) for n in (12, 30, 100, 1000, 30_000)}
+    rows = {
+        **ordinary,
+        "lines": "\n".join(["said again"] * 400),
+        "noise": spaced,
+        # Half and more of the chunks are bad, the whole is in its band.
+        "noise in prose": prose(rng, 4000) + " ".join(noise(30) for _ in range(1050)),
+        "lines in prose": " ".join(["again and"] * 5000) + prose(rng, 4000),
+        "short": "a b",
+        "short noise": noise(20),
+        "null": None,
+        "empty": "",
+    }
+    table = texts(spark, *enumerate(rows.values()))
+    got = compression_bands.judge(table).select("doc_id", "quality.*")
+    verdicts = {name: r for name, r in zip(rows, sorted(got.collect(), key=lambda r: r.doc_id))}
+    assert {name: r.verdict for name, r in verdicts.items()} == {
+        **dict.fromkeys(ordinary, "normal"),
+        "lines": "repetitive",
+        "noise": "incompressible",
+        "noise in prose": "incompressible",
+        "lines in prose": "repetitive",
+        **dict.fromkeys(["short", "short noise", "null", "empty"], "normal"),
+    }
+    assert {name for name, r in verdicts.items() if r.kept} == set(ordinary)
+    whole = verdicts["noise in prose"]
+    assert whole.ratio < compression_bands.band_of(whole.n_bytes).high
+    assert verdicts["null"].ratio is None and verdicts["null"].n_chunks == 0
+
+
+def test_ratios_are_those_of_the_compressor(spark):
+    text = prose(random.Random(3), 5000)
+    plain = text.encode()
+    compress = zstandard.ZstdCompressor(level=compression_bands.LEVEL).compress
+    row = compression_bands.measure(texts(spark, (1, text))).select("measures.*").first()
+    assert row.n_bytes == len(plain) and row.ratio == len(compress(plain)) / len(plain)
+    chunks = [plain[i : i + 4096] for i in range(0, len(plain), 4096)]
+    bands = [compression_bands.band_of(len(c)) for c in chunks]
+    ratios = [len(compress(c)) / len(c) for c in chunks]
+    assert (row.n_chunks, row.n_repetitive, row.n_incompressible) == (
+        len(chunks),
+        sum(r < b.low for r, b in zip(ratios, bands)),
+        sum(r > b.high for r, b in zip(ratios, bands)),
+    )
+
+
+def test_columns_and_empty_tables_stay(spark):
+    table = texts(spark, (1, "a b c"), (1, "a b c"))
+    judged = compression_bands.judge(table, name="score")
+    assert judged.columns == table.columns and judged.count() == 2
+    assert compression_bands.judge(table.limit(0)).collect() == []
+
+
+def test_bands_by_columns_are_those_by_length(spark):
+    low, high = compression_bands._limits(F.col("id"))
+    for n, *limits in spark.range(0, 20_000, 61).select("id", low, high).collect():
+        assert limits == list(compression_bands.band_of(n)[1:])
+
+
+def test_the_query_keeps_what_passes_both(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(5, 400))) for i in range(60)]
+    rows += [(60, "x y\n" * 200), (61, None), (None, "one two"), (62, "one two")]
+    texts(spark, *rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.op13_compression_bands(spark, str(tmp_path))
+    assert found(got, "doc_id", *BASE) == sorted(
+        ((i, *brute(t)) for i, t in rows), key=lambda r: tuple((v is not None, str(v)) for v in r)
+    )
+    assert got.where("kept != (not base_failed and verdict = 'normal')").count() == 0
+    assert got.where("not base_failed and not kept").count() == 0
