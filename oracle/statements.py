@@ -110,7 +110,8 @@ _STEPS: dict[str, str] = {
                v.unit, v.is_flagged,
                CASE WHEN r.sensor IS NULL THEN 'no spec'
                     WHEN v.value > r.range_max THEN 'above'
-                    WHEN v.value < r.range_min THEN 'below' ELSE 'within' END AS range_state
+                    WHEN v.value < r.range_min THEN 'below'
+                    WHEN v.value IS NOT NULL THEN 'within' END AS range_state
         FROM sensor_values v LEFT JOIN ranges r USING (machine_type, sensor)""",
     "numbered_turns": """
         SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back,

@@ -13,14 +13,17 @@ from oracle import statements
 from tests.compare import duck, duck_rows, spark_rows
 from tests.rows import by, only
 
-SF = "/root/testdata/sf0.001"
+# The smallest tables lack cases that the larger ones have, such as a newest
+# reading without pressure.
+SIZES = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
+SF = SIZES[0]
 QUERIES = catalog.queries()
 STATEMENTS = statements.all_statements()
 
 
 @pytest.fixture(scope="module")
-def connection():
-    return duck(SF)
+def connections():
+    return {sf: duck(sf) for sf in SIZES}
 
 
 def test_every_query_has_a_twin():
@@ -29,9 +32,10 @@ def test_every_query_has_a_twin():
     assert set(STATEMENTS) <= set(entry_points.oracle_sql())
 
 
+@pytest.mark.parametrize("sf", SIZES)
 @pytest.mark.parametrize("name", list(QUERIES))
-def test_twin(spark, connection, name):
-    assert spark_rows(QUERIES[name](spark, SF)) == duck_rows(connection, STATEMENTS[name])
+def test_twin(spark, connections, name, sf):
+    assert spark_rows(QUERIES[name](spark, sf)) == duck_rows(connections[sf], STATEMENTS[name])
 
 
 def test_entry(spark):
