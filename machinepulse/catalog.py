@@ -10,7 +10,8 @@ from machinepulse.functions.periods import ALL_TIME, Period
 from machinepulse.functions.rules import health_band, priority
 from machinepulse.operators import anomalies, charts, fleet, guide, machines, sensors, turns
 from machinepulse.plans import context, reports
-from machinepulse.sources import quality, testdata
+from machinepulse.schemas import VERDICTS
+from machinepulse.sources import quality, staging, summaries, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,7 @@ class Tables:
     """The input tables of one directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark = spark
         self._place = (spark, sf_dir)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -66,6 +68,39 @@ def _report(t: Tables, p: Period) -> DataFrame:
     return reports.with_rules(reports.machine_report(t.readings, t.verdicts, p))
 
 
+def _stored(build: Callable[[DataFrame], DataFrame], facts: DataFrame) -> str:
+    """A summary written to the shared folder, as a job that answers many queries keeps it."""
+    path = staging.new_path(facts.sparkSession, "summary")
+    summaries.write(build(facts), path)
+    return path
+
+
+def _kpi_from_state(t: Tables, p: Period) -> DataFrame:
+    path = _stored(summaries.newest_by_month, t.readings)
+    return fleet.kpi_latest(summaries.read_newest(t.spark, path), p)
+
+
+def _detail_from_summary(t: Tables, p: Period) -> DataFrame:
+    path = _stored(summaries.moments_by_month, t.readings)
+    baselines = summaries.type_baselines(summaries.read(t.spark, path))
+    return machines.asset_detail(t.readings, t.verdicts, p, baselines=baselines)
+
+
+def _overview_from_state(t: Tables, p: Period) -> DataFrame:
+    newest, judged, counts = (
+        _stored(summaries.newest_by_month, t.readings),
+        _stored(summaries.newest_by_month, t.verdicts),
+        _stored(summaries.counts_by_month, t.verdicts),
+    )
+    return machines.asset_overview_from_summaries(
+        t.readings,
+        summaries.read_newest(t.spark, newest),
+        summaries.read_newest(t.spark, judged, VERDICTS),
+        summaries.read(t.spark, counts),
+        p,
+    )
+
+
 # Queries that take a period; registered once per period above.
 BY_PERIOD: dict[str, Build] = {
     "kpi_latest": lambda t, p: fleet.kpi_latest(t.readings, p),
@@ -94,6 +129,9 @@ BY_PERIOD: dict[str, Build] = {
     "report_format": lambda t, p: _report(t, p).select(
         "machine_id", "task_mode", "sensors_out_of_range", "report_format"
     ),
+    "kpi_latest_from_state": _kpi_from_state,
+    "asset_overview_from_state": _overview_from_state,
+    "asset_detail_from_summary": _detail_from_summary,
     "fleet_context": lambda t, p: context.fleet_context(t.readings, t.verdicts, p),
     "machine_context": lambda t, p: context.machine_context(t.readings, t.verdicts, p),
 }

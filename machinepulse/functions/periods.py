@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import reduce
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,10 +34,13 @@ class Period:
 
     A month without a year means that month of every year. None and 0 both
     mean "no restriction".
+
+    `years` tells the first and last year of a table, see `within`.
     """
 
     month: int | None = None
     year: int | None = None
+    years: tuple[int, int] | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "month", self.month or None)
@@ -45,6 +50,15 @@ class Period:
         if self.year is not None and not 1 <= self.year <= 9999:
             raise ValueError(f"year must be 1-9999, got {self.year}")
 
+    def within(self, years: tuple[int, int] | None) -> Period:
+        """The same period for a table whose rows lie in these years.
+
+        A month of every year then becomes a range per year, which reaches the
+        readers of any source. Rows in other years are still found, only not
+        pruned, so years that have become too narrow do no harm.
+        """
+        return replace(self, years=years)
+
     @property
     def label(self) -> str:
         """A month alone is labelled like no restriction at all."""
@@ -62,6 +76,16 @@ class Period:
         return _micros(self.year, self.month), _micros(*after)
 
 
+    def yearly_micros(self) -> list[tuple[int | None, int | None]] | None:
+        """For a month of every year: its range in each of the known years, and what lies
+        before and after those years."""
+        if self.year or not self.month or not self.years:
+            return None
+        first, last = self.years
+        inner = [Period(self.month, year).micros() for year in range(first, last + 1)]
+        return [(None, _micros(first, 1)), *inner, (_micros(last + 1, 1), None)]
+
+
 ALL_TIME = Period()
 
 
@@ -104,18 +128,35 @@ def _all(df: DataFrame, conditions: list[Column]) -> DataFrame:
     return df
 
 
+def months_in(df: DataFrame, period: Period) -> DataFrame:
+    """Rows of a table by month, cut by its layout columns alone."""
+    return _all(df, _layout(df, period))
+
+
+def _yearly(column: str, period: Period, bound: Callable[[int], Column]) -> list[Column]:
+    ranges = []
+    for start, end in period.yearly_micros() or ():
+        low = None if start is None else F.col(column) >= bound(start)
+        high = None if end is None else F.col(column) < bound(end)
+        ranges.append(reduce(Column.__and__, [c for c in (low, high) if c is not None]))
+    return [reduce(Column.__or__, ranges)] if ranges else []
+
+
 def readings_in(df: DataFrame, period: Period, column: str = "timestamp") -> DataFrame:
     """Rows whose timestamp lies in the period.
 
     With a year the condition is a range on the bare column, which reaches the
-    Parquet reader; a month alone can only be pruned through the layout.
+    Parquet reader; a month alone is pruned through the layout, or through
+    ranges for the years that `Period.within` was told.
     """
     conditions = _layout(df, period)
     bounds = period.micros()
+    bound = lambda micros: F.timestamp_micros(F.lit(micros))
     if bounds:
-        start, end = (F.timestamp_micros(F.lit(bound)) for bound in bounds)
+        start, end = map(bound, bounds)
         conditions += [F.col(column) >= start, F.col(column) < end]
     elif period.month:
+        conditions += _yearly(column, period, bound)
         conditions.append(F.month(column) == period.month)
     return _all(df, conditions)
 
@@ -124,12 +165,12 @@ def verdicts_in(df: DataFrame, period: Period, column: str = "timestamp") -> Dat
     """Same for a column of epoch nanoseconds; the range is on the raw long."""
     conditions = _layout(df, period)
     bounds = period.micros()
+    bound = lambda micros: F.lit(max(-_LONG_MAX, min(_LONG_MAX, micros * 1000)))
     if bounds:
-        start, end = (
-            max(-_LONG_MAX, min(_LONG_MAX, bound * 1000)) for bound in bounds
-        )
-        conditions += [F.col(column) >= F.lit(start), F.col(column) < F.lit(end)]
+        start, end = map(bound, bounds)
+        conditions += [F.col(column) >= start, F.col(column) < end]
     elif period.month:
+        conditions += _yearly(column, period, bound)
         conditions.append(F.month(nanos_to_timestamp(F.col(column))) == period.month)
     return _all(df, conditions)
 

@@ -8,6 +8,7 @@ from machinepulse.functions.numbers import rounded, rounded_rows
 from machinepulse.functions.periods import (
     ALL_TIME,
     Period,
+    months_in,
     nanos_to_timestamp,
     of_machine,
     readings_in,
@@ -16,7 +17,7 @@ from machinepulse.functions.periods import (
 )
 from machinepulse.functions.rules import asset_state, count_true, rul_days, trend_direction
 from machinepulse.operators.latest import latest_rows, newest, ordered
-from machinepulse.schemas import READINGS, SENSOR_FLAGS, SENSORS, VERDICT_FLAGS
+from machinepulse.schemas import MONTH, READINGS, SENSOR_FLAGS, SENSORS, VERDICT_FLAGS, YEAR
 
 # Decimals shown per measure.
 DIGITS = {
@@ -87,17 +88,24 @@ def by_health(df: DataFrame) -> DataFrame:
 
 def _assets(readings: DataFrame, verdicts: DataFrame, period: Period) -> DataFrame:
     selected = readings_in(readings, period)
-    bound = selected.agg(F.max("timestamp")).scalar() - F.make_dt_interval(F.lit(TREND_DAYS))
+    judged = _newest_verdict(verdicts, period, None, *flag_counts(), *anomaly_span())
+    return _overview(selected.withColumn("is_past", F.col("timestamp") <= _bound(selected)), judged)
+
+
+def _bound(selected: DataFrame) -> Column:
+    """The trend compares with the last reading up to this time."""
+    return selected.agg(F.max("timestamp")).scalar() - F.make_dt_interval(F.lit(TREND_DAYS))
+
+
+def _overview(marked: DataFrame, judged: DataFrame) -> DataFrame:
+    """The overview from readings marked as past or not, and one row of verdicts per machine."""
     # At most two rows per machine: its newest one since the bound and its
     # newest one before. The later of them is the present.
-    ends = latest_rows(
-        selected.withColumn("is_past", F.col("timestamp") <= bound), READING_VALUES, "is_past"
-    )
+    ends = latest_rows(marked, READING_VALUES, "is_past")
     latest = ends.groupBy("machine_id").agg(
         newest(READING_VALUES).alias("now"),
         newest(["health_pct"], where=F.col("is_past")).alias("past"),
     )
-    judged = _newest_verdict(verdicts, period, None, *flag_counts(), *anomaly_span())
     return latest.join(judged, "machine_id", "left").select(
         "machine_id",
         "now.machine_type",
@@ -119,6 +127,50 @@ def _assets(readings: DataFrame, verdicts: DataFrame, period: Period) -> DataFra
     )
 
 
+def asset_overview_from_summaries(
+    readings: DataFrame,
+    newest_readings: DataFrame,
+    newest_verdicts: DataFrame,
+    verdict_counts: DataFrame,
+    period: Period = ALL_TIME,
+) -> DataFrame:
+    """`asset_overview` from the monthly summaries of `sources.summaries`.
+
+    Of the readings it reads one month: that of the bound a week before the
+    newest reading, whose newest row may lie after the bound. Newest rows of
+    earlier months and of the present are in the summary.
+    """
+    candidates = readings_in(newest_readings, period)
+    bound = _bound(candidates)
+    columns = ("machine_id", "timestamp", *READING_VALUES)
+    months = readings_in(readings, period).filter(
+        (F.col("timestamp") <= bound) & (F.col("timestamp") >= F.date_trunc("month", bound))
+    )
+    if YEAR in readings.columns and MONTH in readings.columns:
+        months = months.filter(
+            (F.col(YEAR) == F.year(bound)) & (F.col(MONTH) == F.month(bound))
+        )
+    marked = (
+        candidates.select(*columns)
+        .unionAll(months.select(*columns))
+        .withColumn("is_past", F.col("timestamp") <= bound)
+    )
+    counted = (
+        months_in(verdict_counts, period)
+        .groupBy("machine_id")
+        .agg(
+            *[
+                F.sum(flag).alias(name)
+                for flag, name in zip(VERDICT_FLAGS, FLAG_COUNTS, strict=True)
+            ],
+            nanos_to_timestamp(F.min("first_anomaly")).alias("first_anomaly_ts"),
+            nanos_to_timestamp(F.max("last_anomaly")).alias("last_anomaly_ts"),
+        )
+    )
+    judged = _newest_verdict(newest_verdicts, period, None).join(counted, "machine_id")
+    return by_health(_overview(marked, judged)).drop("health_order")
+
+
 def assets(readings: DataFrame, verdicts: DataFrame, period: Period = ALL_TIME) -> DataFrame:
     """`asset_overview` in no order, for whatever is derived from it."""
     return _assets(readings, verdicts, period).drop("health_order")
@@ -219,14 +271,20 @@ def asset_detail(
     verdicts: DataFrame,
     period: Period = ALL_TIME,
     machine_id: str | None = None,
+    baselines: DataFrame | None = None,
 ) -> DataFrame:
     """Newest reading and verdict per machine, each sensor's distance from its
     type's all-time mean in hundredths of a standard deviation, and remaining
-    life."""
+    life.
+
+    `baselines` are the means and deviations of `summaries.type_baselines`;
+    without them they come from all readings of all time.
+    """
     latest = latest_rows(
         readings_in(of_machine(readings, machine_id), period), READING_VALUES
     ).join(_newest_verdict(verdicts, period, machine_id), "machine_id", "left")
-    baselines = type_baselines(readings)
+    if baselines is None:
+        baselines = type_baselines(readings)
 
     def deviation(sensor: str) -> Column:
         distance = F.abs(F.col(sensor) - F.col(f"avg_{sensor}"))

@@ -12,8 +12,9 @@ machine alone would put a dominant machine into one bucket.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -46,6 +47,23 @@ def read_verdicts(
     return conform(raw, VERDICTS, "verdicts")
 
 
+def years_of(df: DataFrame) -> tuple[int, int] | None:
+    """First and last year of a fact table, for `Period.within`; None without rows.
+
+    One pass over the time column.
+    """
+    first, last = df.agg(F.min("timestamp"), F.max("timestamp")).first()
+    if first is None:
+        return None
+    if isinstance(first, int):
+        first, last = (_instant(nanos) for nanos in (first, last))
+    return first.year, last.year
+
+
+def _instant(nanos: int) -> datetime:
+    return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=nanos // 1000)
+
+
 def register_views(readings: DataFrame, verdicts: DataFrame) -> None:
     """Make the tables available to `spark.sql(text, args=[...])`."""
     readings.createOrReplaceTempView("readings")
@@ -65,7 +83,8 @@ def _required(name: str, table: str) -> Column:
     return F.when(F.col(name).isNull(), F.raise_error(message)).otherwise(F.col(name))
 
 
-def _checked(df: DataFrame, table: str) -> DataFrame:
+def checked(df: DataFrame, table: str) -> DataFrame:
+    """The table, failing at the first row without machine or time."""
     return df.withColumns(
         {name: _required(name, table) for name in ("machine_id", "timestamp")}
     )
@@ -83,7 +102,13 @@ def _microsecond_files(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_TIMESTAMP_TYPE, before)
 
 
-def _write(df: DataFrame, time: str, path: str, mode: str, files: int | None) -> None:
+def write_by_month(
+    df: DataFrame, time: str, path: str, mode: str, files: int | None, dynamic: bool = False
+) -> None:
+    """Store rows by the year and month of a time column, ranged by machine and time.
+
+    `dynamic`: overwriting replaces only the months that have rows.
+    """
     laid_out = df.withColumns(
         {
             YEAR: F.year(F.col(time)).cast("int"),
@@ -96,10 +121,12 @@ def _write(df: DataFrame, time: str, path: str, mode: str, files: int | None) ->
         if files
         else laid_out.repartitionByRange(*keys)
     )
+    overwritten = "dynamic" if dynamic else "static"
     with _microsecond_files(df.sparkSession):
         (
             ranged.sortWithinPartitions(*keys)
             .write.mode(mode)
+            .option("partitionOverwriteMode", overwritten)
             .partitionBy(YEAR, MONTH)
             .parquet(path)
         )
@@ -109,7 +136,7 @@ def write_readings(
     readings: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None
 ) -> None:
     """Store readings by period; rejects a missing machine or time."""
-    _write(_checked(readings, "readings"), "timestamp", path, mode, files)
+    write_by_month(checked(readings, "readings"), "timestamp", path, mode, files)
 
 
 def machine_table(readings: DataFrame) -> DataFrame:
@@ -134,8 +161,8 @@ def write_verdicts(
     verdicts: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None
 ) -> None:
     """Store verdicts by period, with their instant beside the nanoseconds."""
-    checked = with_event_time(_checked(verdicts, "verdicts"))
-    _write(checked, EVENT_TIME, path, mode, files)
+    timed = with_event_time(checked(verdicts, "verdicts"))
+    write_by_month(timed, EVENT_TIME, path, mode, files)
 
 
 def save_for_matching(
@@ -152,9 +179,9 @@ def save_for_matching(
     that all executors share.
     One file per bucket; choose `buckets` so that one holds a few GB at most.
     """
-    timed = with_event_time(_checked(verdicts, "verdicts"))
+    timed = with_event_time(checked(verdicts, "verdicts"))
     for df, time, table in (
-        (_checked(readings, "readings"), "timestamp", readings_table),
+        (checked(readings, "readings"), "timestamp", readings_table),
         (timed, EVENT_TIME, verdicts_table),
     ):
         with _microsecond_files(df.sparkSession):

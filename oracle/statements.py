@@ -789,6 +789,13 @@ def all_statements() -> dict[str, str]:
     for suffix, span in SPANS.items():
         for name, select in _by_period(span).items():
             found[f"{name}{suffix}"] = statement(select, span)
+        # The same results by another way: from stored summaries.
+        for name, way in (
+            ("kpi_latest", "from_state"),
+            ("asset_overview", "from_state"),
+            ("asset_detail", "from_summary"),
+        ):
+            found[f"{name}_{way}{suffix}"] = found[f"{name}{suffix}"]
     for name in ("asset_detail", "asset_trend", "anomaly_history"):
         one = f"SELECT * FROM ({_by_period(Span())[name]}) WHERE machine_id = 'M00001'"
         found[f"{name}_one"] = statement(one)
