@@ -9,6 +9,7 @@ Where two codewords cost nearly the same, the answer is flagged as ambiguous.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -16,6 +17,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from machinepulse.llm.common import bounded_batches, bucket
 
@@ -46,8 +48,13 @@ class Model:
 
 
 def letters(text: str | None) -> str:
-    """Lower-cased runs of letters, one space between and around them; empty if none."""
+    """Lower-cased runs of letters, one space between and around them; empty if none.
+
+    Letters are what Unicode calls so; a number such as a half is none.
+    """
     run = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    if not run.replace(" ", "").isalpha():
+        run = " ".join("".join(c if c.isalpha() else " " for c in run).split())
     return f" {run} " if run else ""
 
 
@@ -92,7 +99,7 @@ def codewords(n: int) -> np.ndarray:
 def fit(
     docs: DataFrame,
     train: Column | None = None,
-    max_rows: int = 2000,
+    max_rows: int = 4000,
     rounds: int = 150,
 ) -> Model:
     """Learn the languages of lang from text.
@@ -107,17 +114,13 @@ def fit(
     if train is not None:
         labelled = labelled.where(train)
     labelled = labelled.select("doc_id", "lang", "text")
-    count = max(1, labelled.select("lang").distinct().count())
-    per_language = max(1, min(1000, max_rows // count))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # One row for each language.
+    counts = dict(labelled.groupBy("lang").count().collect())
+    per_language = max(1, min(1000, max_rows // max(1, len(counts))))
     # The rows that count are found by id first: texts stay out of the ranking.
-    chosen = (
-        labelled.select("doc_id", "lang")
-        .withColumn("place", F.row_number().over(place))
-        .where(F.col("place") <= per_language)
-        .select("doc_id")
-        .distinct()
-    )
+    chosen = docs.sparkSession.createDataFrame(
+        _smallest(labelled, counts, per_language), StructType([docs.schema["doc_id"]])
+    ).distinct()
     rows = (
         labelled.join(F.broadcast(chosen), "doc_id")
         .select("lang", "text")
@@ -127,6 +130,35 @@ def fit(
     return _train(rows["lang"].to_numpy(), list(rows["x"]), rounds)
 
 
+def _smallest(labelled: DataFrame, counts: dict[str, int], each: int) -> list[tuple]:
+    """The ids of the rows that count: of each language those whose hashed id is smallest.
+
+    A threshold on the hash, from the counted rows of a language, leaves about
+    four times as many as are wanted, so no language meets in one task. Should
+    it leave too few, it is raised.
+    """
+    hashed = F.xxhash64("doc_id")
+    place = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    for spread in (4, 64, None):
+        limit = F.lit(None).cast("long")
+        for lang, n in counts.items():
+            share = min(1.0, spread * each / n) if spread else 1.0
+            most = min(2**63 - 1, -(2**63) + int(share * 2**64))
+            limit = F.when(F.col("lang") == lang, F.lit(most)).otherwise(limit)
+        found = (
+            labelled.select("doc_id", "lang", hashed.alias("hash"))
+            .where(F.col("hash") <= limit)
+            .withColumn("place", F.row_number().over(place))
+            .where(F.col("place") <= each)
+            .select("doc_id", "lang")
+            .collect()
+        )
+        held = Counter(row.lang for row in found)
+        if all(held[lang] >= min(n, each) for lang, n in counts.items()):
+            break
+    return [(row.doc_id,) for row in found]
+
+
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         runs = [letters(t) for t in batch["text"]]

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from machinepulse.llm.common import bounded_batches, bucket
+from machinepulse.llm.common import bounded_batches, bucket, stored
 
 BUCKETS = 1 << 18
 _WORD = re.compile(r"\w+")
@@ -57,7 +57,7 @@ def fit(
     labels: DataFrame,
     label: str = "toxic",
     train: Column | None = None,
-    max_per_class: int = 2000,
+    max_per_class: int = 4000,
     selected: int = 4096,
     factors: int = 4,
 ) -> Model:
@@ -81,56 +81,84 @@ def fit(
     ]
     # At most 2 * max_per_class rows of two numbers: small enough to repeat.
     sample = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = (
+    rows = stored(
         docs.select("doc_id", "text")
         .join(sample, "doc_id")
         .select("y", "text")
-        .mapInPandas(_features, "y int, x binary")
+        .mapInPandas(_features, "y int, x array<int>"),
+        "sampled-terms",
+    )
+    n, positives = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if positives in (0, n):
+        # No label at all scores low: nothing is known to be toxic.
+        share = (positives + 0.5) / (n + 1.0) if n else 0.01
+        unknown = np.full(BUCKETS, -1, np.int32)
+        return Model(
+            float(np.log(share / (1 - share))), unknown, np.zeros(0), np.zeros((0, factors))
+        )
+    # One row for each of BUCKETS terms at most; of the texts only the chosen
+    # terms come to the driver, however long they are.
+    seen = (
+        rows.select("y", F.explode("x").alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("df"), F.sum("y").alias("a"))
         .toArrow()
     )
-    x = rows.column("x").to_pylist()
-    return _train(rows.column("y").to_numpy(), [np.frombuffer(b, "<i4") for b in x], selected, factors)
+    term = seen.column("term").to_numpy()
+    df, a = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    df[term], a[term] = seen.column("df").to_numpy(), seen.column("a").to_numpy()
+    slots = _slots(df, a, n, positives, selected)
+    held = rows.mapInPandas(_chosen(slots), "y int, x binary").toArrow()
+    x = [np.frombuffer(b, "<i4") for b in held.column("x").to_pylist()]
+    best = slots >= 0
+    return _train(held.column("y").to_numpy(), x, slots, df[best], a[best], factors)
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        buckets = [sorted({b for w in words(t) for b in term_buckets(w)}) for t in batch["text"]]
-        x = [np.array(b, "<i4").tobytes() for b in buckets]
+        x = [sorted({b for w in words(t) for b in term_buckets(w)}) for t in batch["text"]]
         yield pd.DataFrame({"y": batch["y"], "x": x})
 
 
-def _train(y: np.ndarray, docs: list, selected: int, factors: int) -> Model:
-    """Full-batch Adagrad on the terms that depend on the label most (chi-square).
+def _chosen(slots: np.ndarray) -> Callable:
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            places = [slots[np.asarray(x, np.int64)] for x in batch["x"]]
+            x = [p[p >= 0].astype("<i4").tobytes() for p in places]
+            yield pd.DataFrame({"y": batch["y"], "x": x})
 
-    It begins at half the log odds of each term, so that a single strong term
-    weighs enough even if toxic texts usually hold several.
-    """
-    n, positives = len(y), int(y.sum())
-    empty = Model(0.0, np.full(BUCKETS, -1, np.int32), np.zeros(0), np.zeros((0, factors)))
-    if positives in (0, n):
-        # No label at all scores low: nothing is known to be toxic.
-        share = (positives + 0.5) / (n + 1.0) if n else 0.01
-        return Model(float(np.log(share / (1 - share))), empty.slots, empty.w, empty.v)
-    lengths = np.fromiter(map(len, docs), np.int64, n)
-    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
-    terms = np.concatenate([np.asarray(d, np.int32) for d in docs])
-    df = np.bincount(terms, minlength=BUCKETS).astype(float)
-    a = np.bincount(terms, weights=y[owner], minlength=BUCKETS)
+    return chosen
+
+
+def _slots(df: np.ndarray, a: np.ndarray, n: int, positives: int, selected: int) -> np.ndarray:
+    """A place from 0 for the terms that depend on the label most (chi-square), else -1."""
     p = positives / n
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (a - df * p) ** 2 / (df * p * (1 - p) * (1 - df / n).clip(1e-9))
     chi[(df < 3) | ~np.isfinite(chi)] = 0.0
     best = np.argsort(-chi, kind="stable")[:selected]
     best = np.sort(best[chi[best] > 12.0])
-    slots = empty.slots.copy()
+    slots = np.full(BUCKETS, -1, np.int32)
     slots[best] = np.arange(len(best))
-    place = slots[terms]
-    owner, place = owner[place >= 0], place[place >= 0]
-    m = len(best)
+    return slots
+
+
+def _train(
+    y: np.ndarray, docs: list, slots: np.ndarray, df: np.ndarray, a: np.ndarray, factors: int
+) -> Model:
+    """Full-batch Adagrad, over documents as lists of places.
+
+    It begins at half the log odds of each term, so that a single strong term
+    weighs enough even if toxic texts usually hold several.
+    """
+    n, positives, m = len(y), int(y.sum()), len(df)
+    p = positives / n
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.fromiter(map(len, docs), np.int64, n))
+    place = np.concatenate(docs) if docs else np.empty(0, np.int32)
     rng = np.random.default_rng(7)
     w = 0.5 * (
-        np.log((a[best] + 1) / (positives + 2))
-        - np.log((df[best] - a[best] + 1) / (n - positives + 2))
+        np.log((a + 1) / (positives + 2))
+        - np.log((df - a + 1) / (n - positives + 2))
     )
     v, b = rng.normal(0.0, 0.01, (m, factors)), -2.0
     gw, gv, gb = np.full(m, 1e-8), np.full((m, factors), 1e-8), 1e-8

@@ -89,12 +89,14 @@ def test_languages_of_odd_texts(spark):
     rows = [(i, "the cat and the dog " * 3, "en", "s") for i in range(0, 40, 2)]
     rows += [(i, "der Hund und die Katze " * 3, "de", "s") for i in range(1, 40, 2)]
     odd = [(50, None, "en", "s"), (51, "", "en", "s"), (52, "12 ... !", "de", "s"),
-           (53, "the " * 100_000, None, "s"), (None, "und die", "de", "s")]
+           (53, "the " * 100_000, None, "s"), (None, "und die", "de", "s"),
+           (54, "\u00bd \u2461 \u00b2 \u2167 12_3", "de", "s"), (55, "\u00bdthe\u2461", "en", "s")]
     docs = documents(spark, rows + odd)
     model = language.fit(docs)
     got = {r.doc_id: r.language for r in language.identify(docs, model).collect()}
     assert got[0].lang_pred == "en" and got[1].lang_pred == "de" and got[53].lang_pred == "en"
-    assert all(got[i].lang_pred == "und" and got[i].score == 0.0 for i in (50, 51, 52))
+    assert all(got[i].lang_pred == "und" and got[i].score == 0.0 for i in (50, 51, 52, 54))
+    assert language.letters("\u00bdthe\u2461 \u00b2Cat") == " the cat "
     nothing = language.fit(docs.limit(0))
     assert {r.language.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).collect() == []
@@ -119,3 +121,29 @@ def test_decoding_corrects_a_wrong_bit_and_flags_ties():
     assert model.decode(np.zeros(language.DIMENSIONS))[0] == "c"
     model = language.Model(list("abcd"), codes, weights, np.zeros(codes.shape[1]), np.ones(7))
     assert model.decode(np.zeros(language.DIMENSIONS))[2]
+
+
+def test_the_rows_to_learn_languages_from_are_those_of_smallest_hash(spark):
+    # One language holds nearly all rows; some ids are null or repeat.
+    rows = [(i, "a text", "en", "s") for i in range(20_000)] + [(i, "ein Text", "de", "s") for i in range(30)]
+    rows += [(None, "x", "en", "s"), (5, "y", "en", "s"), (5, "y", "fr", "s")]
+    docs = documents(spark, rows, clash=False)
+    counts = {"en": 20_002, "de": 30, "fr": 1}
+    ids = sorted(i for (i,) in language._smallest(docs, counts, 50) if i is not None)
+    hashed = [(r.h, r.doc_id, r.lang) for r in docs.selectExpr("xxhash64(doc_id) h", "doc_id", "lang").collect()]
+    want = []
+    for lang in counts:
+        own = sorted(((h, i is not None, i) for h, i, at in hashed if at == lang), key=lambda r: r[:2])
+        want += [i for _, known, i in own[:50] if known]
+    assert ids == sorted(want)
+
+
+def test_terms_of_long_texts_stay_off_the_driver(spark):
+    noise = " ".join(f"w{i}" for i in range(30_000))
+    docs = texts(spark, *[(i, ("fool " if i % 2 else "kind ") + noise) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    # Words that all texts share depend on no label.
+    assert 0 < (model.slots >= 0).sum() < 20
+    scored = toxicity.score(docs, model).collect()
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in scored)
