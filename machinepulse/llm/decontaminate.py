@@ -130,38 +130,34 @@ def _found(
         "window-shingles",
     )
     sizes = sorted(row.g for row in keyed.select("g").distinct().collect())
+    none = texts.select(
+        "id", "version", F.lit(0).alias("start"), F.lit(0).alias("length"), "words"
+    ).where(F.lit(False))
+    if not sizes:
+        return stored(none, "occurrences"), owned
+    # The only pass over all places of all texts keeps those of the benchmark's
+    # shingles; how often a shingle occurs and where follow from it.
     shingles = _small(keyed.select("shingle").distinct())
-
-    counts = None
+    places = None
     for g in sizes:
-        seen = _occurrences(texts, g).join(shingles, "shingle").select("shingle")
-        counts = seen if counts is None else counts.unionByName(seen)
-    if counts is None:
-        found = texts.select(
-            "id", "version", F.lit(0).alias("start"), F.lit(0).alias("length"), "words"
-        ).where(F.lit(False))
-    else:
-        frequency = counts.groupBy("shingle").agg(F.count("*").alias("frequency"))
-        # A shingle without a frequency does not occur, and so neither does its window.
-        rarity = F.struct(F.coalesce("frequency", F.lit(0)), "offset", "shingle")
-        rarest = (
-            keyed.join(frequency, "shingle", "left")
-            .groupBy("words", "g")
-            .agg(F.min(rarity).alias("rarest"))
-            .where("rarest.col1 > 0")
-            .select(
-                F.col("words").alias("sought"),
-                "g",
-                F.col("rarest.offset").alias("offset"),
-                F.col("rarest.shingle").alias("shingle"),
-            )
+        here = _occurrences(texts, g).join(shingles, "shingle")
+        places = here if places is None else places.unionByName(here)
+    places = stored(places, "places")
+    frequency = places.groupBy("shingle").agg(F.count("*").alias("frequency"))
+    # A shingle without a frequency does not occur, and so neither does its window.
+    rarity = F.struct(F.coalesce("frequency", F.lit(0)), "offset", "shingle")
+    rarest = (
+        keyed.join(frequency, "shingle", "left")
+        .groupBy("words", "g")
+        .agg(F.min(rarity).alias("rarest"))
+        .where("rarest.col1 > 0")
+        .select(
+            F.col("words").alias("sought"),
+            F.col("rarest.offset").alias("offset"),
+            F.col("rarest.shingle").alias("shingle"),
         )
-        rarest = stored(rarest, "prefixes")
-        found = None
-        for g in sizes:
-            here = _verified(_occurrences(texts, g), rarest.where(F.col("g") == g))
-            found = here if found is None else found.unionByName(here)
-    found = stored(found, "occurrences")
+    )
+    found = stored(_verified(texts, places, stored(rarest, "prefixes")), "occurrences")
     return found, owned
 
 
@@ -187,27 +183,33 @@ def _occurrences(texts: DataFrame, g: int) -> DataFrame:
     return texts.select("*", F.posexplode("words").alias("place", "word")).select(
         "id",
         "version",
-        "words",
         "place",
         F.xxhash64(F.lit(g), F.concat_ws(" ", "word", *ahead)).alias("shingle"),
     )
 
 
-def _verified(places: DataFrame, rarest: DataFrame) -> DataFrame:
-    """Occurring windows: the words at the only place the window can be, compared in full."""
+def _verified(texts: DataFrame, places: DataFrame, rarest: DataFrame) -> DataFrame:
+    """Occurring windows: the words at the only place the window can be, compared in full.
+
+    The places are joined without words; the words of the few texts in question
+    are fetched afterwards.
+    """
     start = F.col("place") - F.col("offset")
+    begun = (
+        places.join(_small(rarest), "shingle")
+        .where(start >= 0)
+        .select("id", "version", start.alias("start"), "sought")
+        .distinct()
+    )
+    begun = stored(begun, "candidates")
     length = F.size("sought")
     return (
-        places.join(_small(rarest.select("shingle", "offset", "sought")), "shingle")
-        .where((start >= 0) & (start + length <= F.size("words")))
-        .where(F.slice("words", start + 1, length) == F.col("sought"))
-        .select(
-            "id",
-            "version",
-            start.alias("start"),
-            length.alias("length"),
-            F.col("sought").alias("words"),
-        )
+        texts.join(begun.withColumnsRenamed({"id": "id_", "version": "version_"}), F.expr(
+            "version = version_ and id <=> id_"
+        ))
+        .where(F.slice("words", F.col("start") + 1, length) == F.col("sought"))
+        .select("id", "version", "start", length.alias("length"), F.col("sought").alias("words"))
+        .distinct()
     )
 
 

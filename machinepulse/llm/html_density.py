@@ -4,9 +4,11 @@ Every node of the page's tree gets its characters per tag, adjusted for how
 many of them are links. A node's sum is that of its children's densities. From
 the node with the largest sum the path up to the body gives the threshold, its
 smallest density; every node below the body that reaches it and lies outside
-what is chosen already contributes its subtree of largest sum. Elements that are never part of an article (menus,
-forms, scripts, adverts, comments of readers and so on) count as no text. Names
-alone never remove what holds the article or most of the page's text.
+what is chosen already contributes its subtree of largest sum. Elements that are
+never part of an article (menus, scripts, adverts, comments of readers and so
+on) count as no text. Names alone, and forms, never remove what holds the
+article or most of the page's text. The choice is widened to the article or main
+element around it; of a main element, lists of links under the threshold stay out.
 """
 
 from __future__ import annotations
@@ -40,9 +42,11 @@ _BLOCKS = set(
     "menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _NEVER = set(
-    "head nav aside footer form button select svg canvas object audio video dialog menu map "
-    "datalist math fieldset".split()
+    "head nav aside footer button select svg canvas object audio video dialog menu map "
+    "datalist math".split()
 )
+# Noise too, but some pages are wrapped in one as a whole.
+_WRAPPERS = {"form", "fieldset"}
 _NOISE_NAMES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
@@ -152,7 +156,7 @@ class Page:
         self.noise.append(self.noise[parent] or self._is_noise(tag, attrs))
         if not self.noise[node]:
             names = self._noise_names(tag, attrs)
-            if names:
+            if names or tag in _WRAPPERS:
                 self._named[node] = bool(names & _READERS)
         if tag in _BLOCKS:
             self.events.append((node, None))
@@ -221,7 +225,7 @@ class Page:
         return names
 
     def _settle(self) -> None:
-        """Make noise of the nodes named so, unless they hold the article or most of the text.
+        """Make noise of forms and of nodes named so, unless they hold the article or most of the text.
 
         The article is the longest article element, and the longest main. An
         article elsewhere that is a quarter as long as the node, or any text
@@ -258,6 +262,11 @@ class Page:
             (node, "" if text and self.noise[node] else text) for node, text in self.events
         ]
 
+    def in_link(self, node: int) -> bool:
+        while node and self.tags[node] != "a":
+            node = self.parent[node]
+        return bool(node)
+
     def _in_article(self) -> bool:
         return any(self.tags[n] in ("article", "main") for n in self._open)
 
@@ -363,11 +372,36 @@ def main_text(source: str | None) -> str:
     blocks, end = [], -1
     for node in sorted(marked):
         if page.first[node] >= end:
+            if page.tags[node] == "main":
+                _without_link_lists(page, node, density, threshold, chosen)
             blocks += page.text(node)
             end = max(end, page.last[node])
     return " ".join(blocks)
 
 
+def _without_link_lists(
+    page: Page, main: int, density: list[float], threshold: float, chosen: int
+) -> None:
+    """Leave out parts of a main element that are mostly links and too thin for the threshold.
+
+    An article says what belongs to it, a main often holds lists of other pages as well.
+    """
+    for node in range(main + 1, len(page.tags)):
+        if page.first[node] >= page.last[main]:
+            break
+        low, high = page.first[node], page.last[node]
+        if density[node] >= threshold or low <= page.first[chosen] < high or low == high:
+            continue
+        plain = linked = 0
+        for at in range(low, high):
+            owner, text = page.events[at]
+            if text:
+                size = len(text) - text.count(" ")
+                plain, linked = (plain, linked + size) if page.in_link(owner) else (plain + size, linked)
+        if linked > plain and page.tags[node] in _BLOCKS:
+            page.events[low:high] = [(o, "" if t else t) for o, t in page.events[low:high]]
+
+
 def _articles(page: Page) -> list[int]:
     """For every node the outermost article or main element around it, or else the node."""
     around = list(range(len(page.tags)))

@@ -80,24 +80,29 @@ def find(
     window of a candidate that is random enough. Null and empty texts have an
     empty array. A column called name is replaced.
     """
-    plain = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    found = _matches(plain, "__assign", ASSIGN, 2, 6)
-    found = _matches(found, "__access", ACCESS, 0, 20)
-    found = _matches(found, "__hex", HEX, 0, 24)
-    found = _matches(found, "__entropy", CANDIDATE, 0, window)
+    # What no column of the input begins with.
+    own = "__"
+    while any(column.lower().startswith(own) for column in docs.columns):
+        own += "_"
+    whole = f"{own}text"
+    plain = docs.select("*", F.coalesce(F.col(text), F.lit("")).alias(whole))
+    found = _matches(plain, whole, f"{own}assign", ASSIGN, 2, 6)
+    found = _matches(found, whole, f"{own}access", ACCESS, 0, 20)
+    found = _matches(found, whole, f"{own}hex", HEX, 0, 24)
+    found = _matches(found, whole, f"{own}entropy", CANDIDATE, 0, window)
     found = found.withColumn(
-        "__entropy",
+        f"{own}entropy",
         F.filter(
             F.transform(
-                F.filter("__entropy", lambda c: ~_any(c["value"], allowed)),
+                F.filter(f"{own}entropy", lambda c: ~_any(c["value"], allowed)),
                 lambda c: _random_part(c, window),
             ),
             lambda c: c["end"] > c["start"],
         ),
     )
-    tagged = [_tagged(f"__{kind}", kind, order) for order, kind in enumerate(KINDS)]
+    tagged = [_tagged(f"{own}{kind}", kind, order) for order, kind in enumerate(KINDS)]
     return found.withColumn(name, F.array_sort(F.concat(*tagged))).drop(
-        "__text", *(f"__{kind}" for kind in KINDS)
+        whole, *(f"{own}{kind}" for kind in KINDS)
     )
 
 
@@ -120,13 +125,15 @@ def _any(value: Column, patterns: tuple[str, ...]) -> Column:
     return matched
 
 
-def _matches(df: DataFrame, name: str, pattern: str, group: int, least: int) -> DataFrame:
+def _matches(
+    df: DataFrame, source: str, name: str, pattern: str, group: int, least: int
+) -> DataFrame:
     """A column of (start, end, value) for the matches whose group has least characters.
 
     Splitting by the pattern gives what lies between the matches, and so, added
     up, their places. Most texts match nowhere and are only scanned once.
     """
-    text = F.col("__text")
+    text = F.col(source)
     hit = text.rlike(pattern)
     whole, value, gap = f"{name}_m", f"{name}_v", f"{name}_g"
     df = df.select(

@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from machinepulse.llm.components import connected_components
 
 
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+_CANONICAL = r"""(?is)<link(?=[\s/])[^>]*[\s"'/]rel\s*=\s*["']?\s*canonical(?=[\s"'/>])[^>]*>"""
+_REFRESH = r"""(?is)<meta(?=[\s/])[^>]*[\s"'/]http-equiv\s*=\s*["']?\s*refresh(?=[\s"'/>])[^>]*>"""
+# What is no markup: comments, and elements whose content is read as text.
+_UNREAD = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
 _SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
 _SITE = "^[^/?#]*://[^/?#]*"
 # A character reference as attributes have it, text without any, or a lone &.
@@ -70,8 +72,15 @@ def _ruling(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): an address and where each of its canonical links and refreshes points."""
+    """(a, b): an address and where each of its canonical links and refreshes points.
+
+    Links in comments, scripts, styles, templates, titles and text areas are none.
+    """
     url, html = F.col("url"), F.coalesce("html", F.lit(""))
+    # Most pages have neither and are only searched.
+    html = F.when(
+        html.rlike("(?i)canonical|refresh"), F.regexp_replace(html, _UNREAD, " ")
+    ).otherwise("")
     links = F.regexp_extract_all(html, F.lit(_CANONICAL), F.lit(0))
     metas = F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(0))
     targets = F.concat(

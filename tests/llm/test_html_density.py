@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 
 import pytest
 
-from machinepulse.llm import registry
+from machinepulse.llm import html_density, registry
 from machinepulse.llm.html_density import Page, densities, extract, main_text
 from tests.llm.rows import found, pages
 
@@ -152,3 +153,85 @@ def test_tables(spark):
     rows = [(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (None, None, None)]
     assert found(extract(pages(spark, *rows)), "page_id", "text") == [(None, ""), (1, "x"), (1, "x")]
     assert extract(pages(spark, *rows).limit(0)).collect() == []
+
+
+def plain_densities(source: str):
+    """Composite densities as the definition has them, every subtree walked anew."""
+    import math
+
+    page = html_density.Page(source)
+    n = len(page.tags)
+    body = page.tags.index("body") if "body" in page.tags else 0
+
+    def below(node):
+        out = [node]
+        for child in range(node + 1, n):
+            if page.parent[child] == node:
+                out += below(child)
+        return out
+
+    def counts(node):
+        nodes = set(below(node)) - {i for i in range(n) if page.noise[i]} | {node}
+        size = lambda t: len(t) - t.count(" ")
+        chars = sum(size(t) for o, t in page.events if t and o in nodes)
+        links = [i for i in nodes if page.tags[i] == "a"]
+        inside = {i for a in links for i in below(a)}
+        link_chars = sum(size(t) for o, t in page.events if t and o in nodes & inside)
+        return chars, len(nodes) - 1, link_chars, len([a for a in links if a != node])
+
+    body_chars, _, body_links, _ = counts(body)
+    density = [0.0] * n
+    for node in range(n):
+        if page.noise[node]:
+            continue
+        c, t, lc, lt = counts(node)
+        if c:
+            t = max(t, 1)
+            base = math.log(c / max(c - lc, 1) * lc + body_links / max(body_chars, 1) * c + math.e)
+            ratio = (c / max(lc, 1)) * (t / max(lt, 1))
+            density[node] = c / t * math.log(1 + ratio) / math.log(1 + base)
+    total = [sum(density[c] for c in range(1, n) if page.parent[c] == i) for i in range(n)]
+    return page, density, total, body
+
+
+def test_densities_are_those_of_walking_every_subtree():
+    rng = random.Random(8)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(30)))
+        tag = rng.choice(["div", "p", "a", "span", "ul", "section", "b"])
+        inner = "".join(tree(depth - 1) for _ in range(rng.randrange(1, 4)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(60):
+        source = f"<html><body>{tree(5)}{tree(4)}</body></html>"
+        page, density, total, body = plain_densities(source)
+        got_density, got_total, got_body = html_density.densities(page)
+        assert got_body == body
+        assert got_density == pytest.approx(density) and got_total == pytest.approx(total)
+
+
+LONG = "A sentence of the article with quite some words in it. " * 8
+
+
+def test_a_page_wrapped_in_one_form_keeps_its_text():
+    page = (
+        "<body><form id=aspnetForm action=/x><div class=content><p>" + LONG + "</p><p>" + LONG
+        + "</p></div><div><input name=q><button>Go</button></div></form></body>"
+    )
+    assert html_density.main_text(page).count("A sentence") == 16
+    search = f"<body><form>Search here <input></form><div><p>{LONG}</p><p>{LONG}</p></div></body>"
+    assert "Search" not in html_density.main_text(search)
+    fieldset = f"<body><div><p>{LONG}</p><fieldset>Your vote</fieldset><p>{LONG}</p></div></body>"
+    assert "vote" not in html_density.main_text(fieldset)
+
+
+def test_lists_of_links_in_main_stay_out():
+    links = "".join(f"<li><a href=/{i}>Another page of this site {i}</a></li>" for i in range(30))
+    text = f"<div><h1>The title</h1><p>{LONG}</p><p>{LONG}</p></div>"
+    for box in ("<div><ul>{}</ul></div>", "<ul>{}</ul>"):
+        got = html_density.main_text(f"<body><main>{text}{box.format(links)}</main></body>")
+        assert got.startswith("The title") and "Another page" not in got and got.count("A sentence") == 16
+    article = f"<body><main><article>{text}<ul>{links}</ul></article></main></body>"
+    assert html_density.main_text(article).count("A sentence") == 16

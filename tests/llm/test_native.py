@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from machinepulse.llm import decontaminate, registry, secrets, url_filter
 from machinepulse.llm.components import connected_components
@@ -33,7 +34,7 @@ def test_twin(spark, name):
 
 
 def test_every_operator_is_registered():
-    assert [name.split("_")[0] for name in registry.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in registry.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 # --- secrets ---------------------------------------------------------------------
@@ -104,6 +105,13 @@ def test_spans_are_those_of_a_plain_scan(spark):
         assert [tuple(s) for s in row.secrets] == brute_spans(rows[row.doc_id]), row.doc_id
 
 
+def test_columns_of_the_input_named_like_own_ones(spark):
+    names = ["__text", "__assign", "__hex", "__HEX_m", "___text", "__entropy_g"]
+    table = spark.createDataFrame([("token = abcdef123", *names)], ["text", *names])
+    row = secrets.find(table).first()
+    assert [row[name] for name in names] == names and row.secrets[0].kind == "assign"
+
+
 def test_no_secrets_in_an_empty_table(spark):
     assert secrets.find(texts(spark, (1, "a")).limit(0)).collect() == []
 
@@ -188,6 +196,69 @@ def test_blocks_reach_aliases_spelled_otherwise(spark):
     assert dict(found(got, "page_id", "verdict")) == {1: "block", 2: "block", 3: "block"}
 
 
+def test_what_is_no_link_makes_no_edge(spark):
+    bad = "https://example.com/en/x"
+    link = f'<link rel=canonical href="{bad}">'
+    rows = {
+        1: f"<!-- {link} -->",
+        2: f'<link data-rel="canonical" href="{bad}">',
+        3: f"<script>s = '{link}'</script>",
+        4: f'<link rel="canonical" data-href="{bad}">',
+        5: f"<template>{link}</template>",
+        6: f"<!-- {link}",
+        7: f'<links rel="canonical" href="{bad}">',
+        8: f'<link rel="canonicals" href="{bad}">',
+        # These are links.
+        11: f"<!-- a -->{link}<!-- b -->",
+        12: f"<link href='{bad}'\n REL = 'canonical'/>",
+        13: f"<script>1</script><title>x</title>{link}",
+        14: f'<link a="b"rel="canonical" href="{bad}">',
+    }
+    table = pages(spark, *[(i, f"https://page{i}.org/", h) for i, h in rows.items()])
+    judged = url_filter.judge(table, registry.RULES)
+    blocked = {r.page_id for r in judged.where("verdict = 'block'").collect()}
+    assert blocked == {11, 12, 13, 14}
+
+
+def test_blocks_over_many_generated_edges(spark):
+    rng = random.Random(6)
+    n = 300
+    urls = [
+        f"https://h{i}.{rng.choice(['org', 'net', 'com'])}/{rng.choice(['es/', 'fr/', ''])}p{i}"
+        for i in range(n)
+    ]
+    to = {i: rng.sample(range(n), rng.choice([0, 0, 1, 1, 2])) for i in range(n)}
+    # A chain, and a page that many point to.
+    to |= {i: [i + 1] for i in range(100, 140)} | {i: [7] for i in range(200, 240)}
+    near = {i: set() for i in range(n)}
+    for i, targets in to.items():
+        for j in targets:
+            near[i].add(j)
+            near[j].add(i)
+
+    def ruled(url):
+        host, path = re.fullmatch(r"https://([^/]*)(/.*)", url).groups()
+        if host.endswith(".com"):
+            return "allow"
+        return "block" if host.endswith(".net") and path.startswith(("/es/", "/fr/")) else None
+
+    want = {}
+    for i in range(n):
+        seen, open_ = {i}, [i]
+        while open_:
+            for j in near[open_.pop()] - seen:
+                seen.add(j)
+                open_.append(j)
+        spread = "block" if any(ruled(urls[j]) == "block" for j in seen) else "allow"
+        want[i] = ruled(urls[i]) or spread
+    html = {
+        i: "".join(f"<link rel=canonical href={urls[j]}>" for j in targets)
+        for i, targets in to.items()
+    }
+    judged = url_filter.judge(pages(spark, *[(i, urls[i], html[i]) for i in range(n)]), registry.RULES)
+    assert {r.page_id: r.verdict for r in judged.collect()} == want
+
+
 def test_given_redirects_count(spark):
     rows = [(1, "http://a.org/", ""), (2, "http://b.org/", "")]
     redirects = spark.createDataFrame(
@@ -277,6 +348,27 @@ def test_hits_are_those_of_a_plain_search(spark, monkeypatch, limit):
         assert len(covered) == row.n_hit
 
 
+def test_no_words_in_the_join_of_places(spark, monkeypatch):
+    """However large the benchmark is, what is joined by shingle are places."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(6)}"
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(300)))) for i in range(60)]
+    docs += [(None, docs[3][1])] * 40 + [(3, docs[3][1]), (3, docs[4][1])]
+    items = [(i, " ".join(docs[i][1].split()[5:20])) for i in range(0, 20, 2)] + [(99, "w1 w2")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    places = decontaminate._occurrences(
+        texts(spark, *docs).select("doc_id", decontaminate.words(F.col("text")).alias("words")).selectExpr(
+            "doc_id AS id", "doc_id AS version", "words"
+        ), 3,
+    )
+    assert "words" not in places.columns
+    got = decontaminate.contamination(texts(spark, *docs), table)
+    assert found(got, "doc_id", "n_words", "n_hit", "item_ids", "contaminated") == sorted(
+        brute_hits(docs, items), key=lambda row: tuple((v is not None, str(v)) for v in row)
+    )
+
+
 def test_nothing_to_compare_with(spark):
     table = texts(spark, (1, "a b"), (2, None))
     got = decontaminate.contamination(table, benchmark(spark, (1, None)))
