@@ -47,7 +47,7 @@ BLOCK_TERMS = 200_000
 # Vectors of a bucket.
 BUCKET = 2048
 # A partition of vectors holds about so many.
-_VECTORS = 1 << 15
+_VECTORS = 1 << 13
 # The share of vectors, the longest ones, that is searched first.
 _FIRST = 1 / 16
 # The coordinates worked out first leave at most this share of an item's length.
@@ -261,8 +261,7 @@ def _scanned(impacts: DataFrame, items: Items, n_docs: int, k: int) -> DataFrame
     """item, doc_id, score: the k best of each item in each part of the vectors, longest first."""
     spark = impacts.sparkSession
     shared = spark.sparkContext.broadcast(items)
-    cores = spark.sparkContext.defaultParallelism
-    parts = max(partitions(n_docs, _VECTORS), min(2 * cores, partitions(n_docs, 2 * BUCKET)))
+    parts = partitions(n_docs, _VECTORS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(shared.value, k)
