@@ -116,11 +116,19 @@ def _filled(identifier: str) -> Column:
     return F.coalesce(F.col(identifier).cast("string"), F.lit(""))
 
 
-def rows_with_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs, all columns, whose doc_id is in the column id of ids."""
-    name = free_name("id", docs.columns)
-    wanted = ids.select(F.col("id").alias(name)).distinct()
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+def rows_leading(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs, all columns, whose (doc_id, 64-bit hash of text) is in kept.
+
+    kept has columns id and version. Rows that repeat doc_id and text come once.
+    """
+    names = docs.columns
+    key, version = free_name("key", names), free_name("version", names)
+    found = docs.withColumns({key: _filled("doc_id"), version: F.xxhash64("text")}).join(
+        kept.select(_filled("id").alias(key), F.col("version").alias(version)),
+        [key, version],
+        "left_semi",
+    )
+    return found.dropDuplicates([key, version]).select(*names)
 
 
 def rows_without(docs: DataFrame, found: DataFrame) -> DataFrame:

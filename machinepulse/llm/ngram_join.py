@@ -88,15 +88,34 @@ def near_duplicates(
     fingerprints. Other columns are not looked at;
     an empty table gives an empty table.
     """
+    return leaders(docs, words, percent, identifier).drop("version", "leads")
+
+
+def leaders(
+    docs: DataFrame, words: int = 5, percent: int = 80, identifier: str = "doc_id"
+) -> DataFrame:
+    """`near_duplicates` with version, the 64-bit hash of the text, and leads.
+
+    leads marks one (identifier, version) of each component, the smallest with
+    nulls last, and every row without words; rows that repeat both are marked
+    alike. version tells apart rows that share an identifier.
+    """
     if not 50 <= percent <= 100:
         raise ValueError("percent is between 50 and 100")
     spark = bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(identifier).alias("id"), F.col("text").alias("text"))
+    texts = docs.select(
+        F.col(identifier).alias("id"), F.col("text").alias("text"), F.xxhash64("text").alias("version")
+    )
     id_type = docs.schema[identifier].dataType.simpleString()
     rows = stored(
-        texts.mapInArrow(_describe(words), f"id {id_type}, n long, print binary"), "set-prints"
+        texts.mapInArrow(_describe(words), f"id {id_type}, version long, n long, print binary"), "set-prints"
+    )
+    row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "version")
+    sets = (
+        rows.where("n > 0")
+        .groupBy("print")
+        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min(row).alias("first"))
     )
-    sets = rows.where("n > 0").groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     kept = stored(_possible(texts, sets, words, percent), "possible")
     _release(spark)
     large = stored(_members(texts, kept, words), "sets")
@@ -109,14 +128,23 @@ def near_duplicates(
         .agg(F.min("component").alias("component"))
     )
     first = sets.join(members, "print", "left")
-    lowest = first.where("component is not null").groupBy("component").agg(F.min("id").alias("low"))
+    lowest = (
+        first.where("component is not null")
+        .groupBy("component")
+        .agg(F.min("first").alias("lowest"))
+    )
     named = first.join(lowest, "component", "left").select(
-        "print", F.coalesce("low", "id").alias("component_id")
+        "print", F.coalesce("lowest", "first").alias("leader")
+    )
+    leads = F.col("id").eqNullSafe(F.col("leader.id")) & (
+        F.col("version") == F.col("leader.version")
     )
     return rows.join(named, "print", "left").select(
         F.col("id").alias(identifier),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("leader.id")).otherwise(F.col("id")).alias("component_id"),
+        "version",
+        F.when(F.col("n") > 0, leads).otherwise(F.lit(True)).alias("leads"),
     )
 
 
@@ -135,10 +163,11 @@ def _describe(words: int) -> Callable:
             yield pa.record_batch(
                 [
                     batch.column("id"),
+                    batch.column("version"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_print(s) for s in sets], pa.binary()),
                 ],
-                names=["id", "n", "print"],
+                names=["id", "version", "n", "print"],
             )
 
     return describe

@@ -75,3 +75,24 @@ def test_stages_keep_odd_rows_and_extra_columns(spark):
     assert got == {(3, None), (4, "only this"), (None, "no id here"), (5, long)}
     coded = corpus_pipeline.encode(spark, docs, SF)
     assert coded.count() == 4 and coded.where(F.col("n_tokens") == 0).count() == 1
+
+
+def test_of_near_copies_one_text_stays_whatever_its_ids(spark):
+    a = " ".join(f"word{i}" for i in range(60))
+    b = " ".join(f"other{i}" for i in range(60))
+    near_a, near_b = a + " more", b + " more"
+    rows = [
+        (3, a), (7, b), (7, near_a),  # the copy of a has the id of another leader
+        (9, "same id one two three"), (9, "same id quite different words"),
+        (11, "c " * 5 + a[::-1]), (11, "c " * 5 + a[::-1] + " z"),  # two near copies with one id
+        (None, near_b), (None, "null one two three four five"), (None, "null six seven eight nine ten"),
+        (20, ""), (21, ". "), (22, " "),
+    ]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows])
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    eleven = [row for row in left if row[0] == 11]
+    assert len(eleven) == 1
+    expected = [r for r in rows if r[0] != 11 and r not in [(7, near_a), (None, near_b)]]
+    assert [row for row in left if row[0] != 11] == sorted(expected, key=str)
