@@ -16,7 +16,7 @@ from machinepulse.llm.common import (
     free_name,
     read,
     rows_kept,
-    rows_with_id,
+    rows_leading,
     rows_without,
     scratch,
 )
@@ -39,11 +39,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar word shingles the one with the smallest doc_id.
 
-    Documents without words are not linked, so all of them stay.
+    Of several texts with that doc_id one stays. Documents without words are not
+    linked, so all of them stay; rows that repeat doc_id and text come once.
     """
-    groups = ngram_join.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return rows_with_id(docs, kept.select(F.col("doc_id").alias("id")))
+    kept = ngram_join.leaders(docs).where("leads")
+    return rows_leading(docs, kept.select(F.col("doc_id").alias("id"), "version"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
