@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from machinepulse.functions.periods import ALL_TIME, Period
 from machinepulse.functions.rules import health_band, priority
-from machinepulse.operators import anomalies, charts, fleet, guide, machines, sensors, turns
+from machinepulse.operators import anomalies, asof, charts, fleet, guide, machines, sensors, turns
 from machinepulse.plans import context, reports
 from machinepulse.schemas import VERDICTS
-from machinepulse.sources import quality, staging, summaries, testdata
+from machinepulse.sources import quality, sqlapi, staging, summaries, testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,22 @@ def _overview_from_state(t: Tables, p: Period) -> DataFrame:
     )
 
 
+def _sql(t: Tables, function: str, p: Period) -> DataFrame:
+    spark = sqlapi.register(t.readings, t.verdicts)
+    return sqlapi.call(spark, function, month=p.month, year=p.year)
+
+
+def _reading_checks(t: Tables, p: Period) -> DataFrame:
+    """Figures observed while another query reads the readings."""
+    readings, observed = quality.observed_readings(t.readings)
+    fleet.readings_per_machine(readings).write.format("noop").mode("overwrite").save()
+    figures = quality.require_keys(observed, "readings")
+    counts = ("rows", "without_key", "status_conflicts", "without_health")
+    return t.spark.createDataFrame(
+        [tuple(figures[name] for name in counts)], ", ".join(f"{name} long" for name in counts)
+    )
+
+
 # Queries that take a period; registered once per period above.
 BY_PERIOD: dict[str, Build] = {
     "kpi_latest": lambda t, p: fleet.kpi_latest(t.readings, p),
@@ -129,6 +145,12 @@ BY_PERIOD: dict[str, Build] = {
     "report_format": lambda t, p: _report(t, p).select(
         "machine_id", "task_mode", "sensors_out_of_range", "report_format"
     ),
+    "anomaly_history_reduced": lambda t, p: anomalies.anomaly_history(
+        t.readings, t.verdicts, p, reduced=True
+    ),
+    "trend_asof": lambda t, p: asof.trend_asof(t.readings, t.verdicts, p),
+    "asset_trend_sql": lambda t, p: _sql(t, "asset_trend", p),
+    "anomaly_events_sql": lambda t, p: _sql(t, "anomaly_events", p),
     "kpi_latest_from_state": _kpi_from_state,
     "asset_overview_from_state": _overview_from_state,
     "asset_detail_from_summary": _detail_from_summary,
@@ -178,6 +200,8 @@ ALL_TIME_ONLY: dict[str, Build] = {
         "machine_id", "health_pct", health_band(F.col("health_pct")).alias("band")
     ),
     "status_from_health": lambda t, p: quality.status_conflicts(t.readings),
+    "reading_checks": _reading_checks,
+    "sensor_baselines_sql": lambda t, p: _sql(t, "sensor_baselines", p),
     "trend_direction": lambda t, p: machines.trend_directions(_assets(t, p)),
     "history_by_month": lambda t, p: anomalies.history_by_month(
         anomalies.anomaly_history(t.readings, t.verdicts, p, limit=None)

@@ -24,8 +24,9 @@ from machinepulse.operators.machines import (
     flag_counts,
     measure,
 )
-from machinepulse.schemas import SENSOR_FLAGS, SENSORS, VERDICT_FLAGS
-from machinepulse.sources.facts import machine_table
+from machinepulse.operators.reduction import may_match
+from machinepulse.schemas import EVENT_TIME, SENSOR_FLAGS, SENSORS, VERDICT_FLAGS
+from machinepulse.sources.facts import machine_table, with_event_time
 
 # Default lengths of the event lists, per machine.
 HISTORY_LIMIT = 500
@@ -242,11 +243,14 @@ def _anomalous_readings(
     limit: int | None,
     verdict_columns: tuple[str, ...],
     reading_columns: tuple[str, ...],
+    reduced: bool,
 ) -> DataFrame:
     own_readings, own_verdicts = _both_in(readings, verdicts, period, machine_id)
-    events = matched(
-        own_verdicts.filter("is_anomaly"), own_readings, verdict_columns, reading_columns
-    )
+    anomalous = own_verdicts.filter("is_anomaly")
+    if reduced:
+        keys = with_event_time(anomalous).select("machine_id", F.col(EVENT_TIME).alias("timestamp"))
+        own_readings = own_readings.filter(may_match(keys, ["machine_id", "timestamp"]))
+    events = matched(anomalous, own_readings, verdict_columns, reading_columns)
     return newest_rows(
         events, ["machine_id"], _limit(limit), ["nanos", *verdict_columns, *reading_columns]
     )
@@ -258,10 +262,16 @@ def anomaly_history(
     period: Period = ALL_TIME,
     machine_id: str | None = None,
     limit: int | None = HISTORY_LIMIT,
+    reduced: bool = False,
 ) -> DataFrame:
-    """The newest anomalous verdicts of each machine with their readings."""
+    """The newest anomalous verdicts of each machine with their readings.
+
+    `reduced` leaves out readings without an anomalous verdict before they are
+    shuffled: worth its two passes over the verdicts where few of many readings
+    are anomalous and the tables are not stored for matching.
+    """
     events = _anomalous_readings(
-        readings, verdicts, period, machine_id, limit, SENSOR_FLAGS, MEASURES
+        readings, verdicts, period, machine_id, limit, SENSOR_FLAGS, MEASURES, reduced
     ).select("machine_id", "timestamp", *[measure(name) for name in MEASURES], *SENSOR_FLAGS)
     return ordered(events, machine_id, F.col("timestamp").desc())
 
@@ -272,6 +282,7 @@ def anomaly_recent(
     period: Period = ALL_TIME,
     machine_id: str | None = None,
     limit: int | None = RECENT_LIMIT,
+    reduced: bool = False,
 ) -> DataFrame:
     """As `anomaly_history`, shorter, with score and status."""
     events = _anomalous_readings(
@@ -282,6 +293,7 @@ def anomaly_recent(
         limit,
         ("anomaly_score", *VERDICT_FLAGS),
         (*MEASURES, "health_status"),
+        reduced,
     ).select(
         "machine_id",
         "timestamp",

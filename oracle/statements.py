@@ -407,6 +407,22 @@ def _by_period(span: Span) -> dict[str, str]:
     )
     return {
         "kpi_latest": "SELECT * FROM figures",
+        "trend_asof": f"""
+            SELECT r.machine_id, r.ts AS timestamp, r.operational_time,
+                   {rnd('r.health_pct', 1)} AS health_pct,
+                   CASE WHEN near THEN v.ts END AS verdict_ts,
+                   CASE WHEN near THEN epoch_us(r.ts) // 1000000 - epoch_us(v.ts) // 1000000 END
+                       AS verdict_age_s,
+                   CASE WHEN near THEN {rnd('v.anomaly_score', 4)} END AS anomaly_score,
+                   {', '.join(f'CASE WHEN near THEN v.{flag} END AS {flag}' for flag in _FLAGS)}
+            FROM (SELECT r.*, v, epoch_us(r.ts) - epoch_us(v.ts) <= 7 * 86400000000 AS near
+                  FROM (SELECT * FROM readings WHERE {span.on()}) r
+                  ASOF LEFT JOIN (
+                      SELECT * FROM verdicts WHERE {span.on()}
+                      QUALIFY row_number() OVER (
+                          PARTITION BY machine_id, ts ORDER BY ns DESC, anomaly_score DESC,
+                          {', '.join(f'{flag} DESC' for flag in _FLAGS)}) = 1) v
+                  ON v.machine_id = r.machine_id AND v.ts <= r.ts) r""",
         "kpi_anomaly_count": f"""
             SELECT count(*) AS anomaly_count FROM verdicts WHERE is_anomaly AND {own}""",
         "kpi_reading_count": f"""
@@ -600,6 +616,19 @@ def _all_time() -> dict[str, str]:
                    count(*) AS reading_count,
                    stored_status IS NOT DISTINCT FROM implied_status AS agrees
             FROM readings GROUP BY ALL""",
+        "reading_checks": """
+            SELECT count(*) AS rows, count(*) FILTER (machine_id IS NULL OR ts IS NULL) AS without_key,
+                   count(*) FILTER (health_status IS DISTINCT FROM
+                       CASE WHEN health_pct >= 80 THEN 'HEALTHY' WHEN health_pct >= 55 THEN 'WARNING'
+                            WHEN health_pct >= 30 THEN 'BORDERLINE'
+                            WHEN health_pct IS NOT NULL THEN 'CRITICAL' END) AS status_conflicts,
+                   count(*) FILTER (health_pct IS NULL) AS without_health
+            FROM readings""",
+        "sensor_baselines_sql": f"""
+            SELECT machine_type, count(*) AS reading_count, {', '.join(
+                f"{rnd(f'avg({s})', 4)} AS avg_{s}, {rnd(f'stddev_samp({s})', 4)} AS std_{s}"
+                for s in ('temperature', 'vibration', 'pressure'))}
+            FROM readings GROUP BY machine_type""",
         "trend_direction": """
             SELECT machine_id, trend_pct, CASE WHEN trend_pct > 0.5 THEN 'up'
                    WHEN trend_pct < -0.5 THEN 'down' ELSE 'flat' END AS direction FROM assets""",
@@ -789,8 +818,11 @@ def all_statements() -> dict[str, str]:
     for suffix, span in SPANS.items():
         for name, select in _by_period(span).items():
             found[f"{name}{suffix}"] = statement(select, span)
-        # The same results by another way: from stored summaries.
+        # The same results by another way.
         for name, way in (
+            ("anomaly_history", "reduced"),
+            ("asset_trend", "sql"),
+            ("anomaly_events", "sql"),
             ("kpi_latest", "from_state"),
             ("asset_overview", "from_state"),
             ("asset_detail", "from_summary"),
