@@ -85,7 +85,7 @@ def fit(
         docs.select("doc_id", "text")
         .join(sample, "doc_id")
         .select("y", "text")
-        .mapInPandas(_features, "y int, x array<int>"),
+        .mapInPandas(_features, "y int, x binary"),
         "sampled-terms",
     )
     n, positives = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -99,9 +99,9 @@ def fit(
     # One row for each of BUCKETS terms at most; of the texts only the chosen
     # terms come to the driver, however long they are.
     seen = (
-        rows.select("y", F.explode("x").alias("term"))
+        rows.mapInPandas(_counted, "term int, df long, a long")
         .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("y").alias("a"))
+        .agg(F.sum("df").alias("df"), F.sum("a").alias("a"))
         .toArrow()
     )
     term = seen.column("term").to_numpy()
@@ -116,14 +116,26 @@ def fit(
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        x = [sorted({b for w in words(t) for b in term_buckets(w)}) for t in batch["text"]]
+        buckets = [sorted({b for w in words(t) for b in term_buckets(w)}) for t in batch["text"]]
+        x = [np.array(b, "<i4").tobytes() for b in buckets]
         yield pd.DataFrame({"y": batch["y"], "x": x})
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each term of a batch how many texts hold it, and how many of them are labelled 1."""
+    for batch in batches:
+        x = [np.frombuffer(b, "<i4") for b in batch["x"]]
+        terms = np.concatenate([np.empty(0, "<i4"), *x])
+        y = np.repeat(batch["y"].to_numpy(), [len(b) for b in x])
+        term, place = np.unique(terms, return_inverse=True)
+        df, a = np.bincount(place), np.bincount(place, weights=y)
+        yield pd.DataFrame({"term": term, "df": df, "a": a.astype(np.int64)})
+
+
 def _chosen(slots: np.ndarray) -> Callable:
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            places = [slots[np.asarray(x, np.int64)] for x in batch["x"]]
+            places = [slots[np.frombuffer(b, "<i4")] for b in batch["x"]]
             x = [p[p >= 0].astype("<i4").tobytes() for p in places]
             yield pd.DataFrame({"y": batch["y"], "x": x})
 
