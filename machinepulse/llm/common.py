@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A batch handed to Python holds at most so many bytes, however long the texts.
@@ -38,6 +43,25 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def handing_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work for a worker that, at the end of its task, gives freed memory back to the system.
+
+    Workers go on to later tasks, of other stages too, and allocators keep what
+    was freed; without this a worker stays as large as its largest task was.
+    """
+
+    @wraps(work)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor can reach.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from machinepulse.llm.common import bounded_batches, partitions, stored
+from machinepulse.llm.common import bounded_batches, handing_back, partitions, stored
 from machinepulse.llm.components import connected_components
 
 # Rows of (id) up to which the sets still of interest are repeated on every
@@ -108,7 +108,7 @@ def leaders(
     )
     id_type = docs.schema[identifier].dataType.simpleString()
     rows = stored(
-        texts.mapInArrow(_describe(words), f"id {id_type}, version long, n long, print binary"), "set-prints"
+        texts.mapInArrow(handing_back(_describe(words)), f"id {id_type}, version long, n long, print binary"), "set-prints"
     )
     row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "version")
     sets = (
@@ -206,7 +206,7 @@ def _possible(texts: DataFrame, sets: DataFrame, words: int, percent: int) -> Da
 
     alone = (
         texts.select("text")
-        .mapInArrow(sample, "gram long, owner long")
+        .mapInArrow(handing_back(sample), "gram long, owner long")
         # Equal sets have equal owners, so copies do not make an n-gram shared.
         .groupBy("gram")
         .agg(F.min("owner").alias("owner"), F.max("owner").alias("other"))
@@ -251,7 +251,7 @@ def _members(texts: DataFrame, kept: DataFrame, words: int) -> DataFrame:
     return (
         texts.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
         .select("text")
-        .mapInArrow(members, "print binary, n long, grams array<long>")
+        .mapInArrow(handing_back(members), "print binary, n long, grams array<long>")
         # Written out by the caller, so a node keeps its number.
         .select(F.monotonically_increasing_id().alias("node"), "print", "n", "grams")
     )
@@ -395,7 +395,7 @@ def _light_pairs(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     rows = (
         sets.where(F.col("n") <= boundary)
         .select("node", "grams")
-        .mapInArrow(subsets, "subset binary, o long, node long, n long")
+        .mapInArrow(handing_back(subsets), "subset binary, o long, node long, n long")
     )
     least = rows.groupBy("subset", "o").agg(F.min(F.struct("n", "node")).alias("least"))
     return (
@@ -548,7 +548,7 @@ def _scanned(labelled: DataFrame, block: DataFrame, percent: int) -> DataFrame:
                     [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
                 )
 
-    return labelled.select("component", "n", "grams").mapInArrow(scan, "a long, b long")
+    return labelled.select("component", "n", "grams").mapInArrow(handing_back(scan), "a long, b long")
 
 
 def _pivots(unsettled: DataFrame, count: int, turn: int) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from machinepulse.llm.common import bounded_batches, bucket, stored
+from machinepulse.llm.common import bounded_batches, bucket, handing_back, stored
 
 BUCKETS = 1 << 18
 _WORD = re.compile(r"\w+")
@@ -85,7 +85,7 @@ def fit(
         docs.select("doc_id", "text")
         .join(sample, "doc_id")
         .select("y", "text")
-        .mapInPandas(_features, "y int, x binary"),
+        .mapInPandas(handing_back(_features), "y int, x binary"),
         "sampled-terms",
     )
     n, positives = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -206,7 +206,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fitted = shared.value
         known: dict[str, tuple[int, ...]] = {}
@@ -225,7 +224,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
                 scores.append(fitted.score(np.fromiter(sorted(places), np.int64, len(places))))
             yield pd.Series(scores, dtype="float64")
 
-    return docs.withColumn(name, probability(F.col(text)))
+    answer = F.pandas_udf(handing_back(probability), "double")
+    return docs.withColumn(name, answer(F.col(text)))
 
 
 def training_rows() -> Column:
