@@ -32,8 +32,12 @@ def test_every_query_has_a_twin():
     assert set(STATEMENTS) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("sf", SIZES)
-@pytest.mark.parametrize("name", list(QUERIES))
+# A period adds filters and nothing else, so the larger tables suffice for it.
+PERIODS = tuple(suffix for suffix in catalog.PERIODS if suffix)
+CASES = [(n, sf) for n in QUERIES for sf in SIZES if sf != SF or not n.endswith(PERIODS)]
+
+
+@pytest.mark.parametrize(("name", "sf"), CASES)
 def test_twin(spark, connections, name, sf):
     assert spark_rows(QUERIES[name](spark, sf)) == duck_rows(connections[sf], STATEMENTS[name])
 
