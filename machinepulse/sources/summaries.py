@@ -33,6 +33,10 @@ from machinepulse.sources.upsert import Months, in_months, months_of, with_month
 
 Build = Callable[[DataFrame], DataFrame]
 
+# Files of a month. A machine's summary is some hundred bytes, so this serves up
+# to about a hundred million machines.
+FILES = 16
+
 
 def newest_by_month(facts: DataFrame) -> DataFrame:
     """The rows of each machine that no other of its rows in the month is after.
@@ -91,9 +95,12 @@ def type_baselines(by_month: DataFrame) -> DataFrame:
     )
 
 
-def write(summary: DataFrame, path: str, months: bool = False) -> None:
-    """Store a summary; `months`: over the months it has rows of, leaving others as they are."""
-    by_month = summary.repartition(YEAR, MONTH, *_spread(summary))
+def write(summary: DataFrame, path: str, months: bool = False, files: int = FILES) -> None:
+    """Store a summary, each month in up to `files` files.
+
+    `months`: over the months it has rows of, leaving others as they are.
+    """
+    by_month = summary.repartition(YEAR, MONTH, *_spread(summary, files))
     (
         by_month.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if months else "static")
@@ -102,20 +109,22 @@ def write(summary: DataFrame, path: str, months: bool = False) -> None:
     )
 
 
-def _spread(summary: DataFrame) -> list:
+def _spread(summary: DataFrame, files: int) -> list:
     """Months of many machines go into several files, those of types into one."""
     if "machine_id" not in summary.columns:
         return []
-    return [F.pmod(F.xxhash64("machine_id"), F.lit(16))]
+    return [F.pmod(F.xxhash64("machine_id"), F.lit(files))]
 
 
-def refresh(build: Build, facts: DataFrame, path: str, months: Months) -> None:
+def refresh(
+    build: Build, facts: DataFrame, path: str, months: Months, files: int = FILES
+) -> None:
     """Make the summary of these months anew, from the facts of these months alone."""
     if months:
-        write(build(in_months(with_month(facts), months)), path, months=True)
+        write(build(in_months(with_month(facts), months)), path, months=True, files=files)
 
 
-def merge_newest(batch: DataFrame, path: str) -> Months:
+def merge_newest(batch: DataFrame, path: str, files: int = FILES) -> Months:
     """Merge a batch of facts into the newest rows at path; gives the months it touched.
 
     Reads the newest rows of these months and no facts. Late rows and rows
@@ -131,8 +140,8 @@ def merge_newest(batch: DataFrame, path: str) -> Months:
     if exists(spark, path):
         rows = rows.unionByName(in_months(read_newest(spark, path, schema), months))
     with staging(spark, "newest") as merged_path:
-        write(newest_by_month(rows), merged_path)
-        write(read_newest(spark, merged_path, schema), path, months=True)
+        write(newest_by_month(rows), merged_path, files=files)
+        write(read_newest(spark, merged_path, schema), path, months=True, files=files)
     return months
 
 
