@@ -201,12 +201,10 @@ def _verified(texts: DataFrame, places: DataFrame, rarest: DataFrame) -> DataFra
         .select("id", "version", start.alias("start"), "sought")
         .distinct()
     )
-    begun = stored(begun, "candidates")
+    begun = begun.withColumnsRenamed({"id": "id_", "version": "version_"})
     length = F.size("sought")
     return (
-        texts.join(begun.withColumnsRenamed({"id": "id_", "version": "version_"}), F.expr(
-            "version = version_ and id <=> id_"
-        ))
+        texts.join(_small(begun), F.expr("version = version_ and id <=> id_"))
         .where(F.slice("words", F.col("start") + 1, length) == F.col("sought"))
         .select("id", "version", "start", length.alias("length"), F.col("sought").alias("words"))
         .distinct()
