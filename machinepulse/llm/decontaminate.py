@@ -18,6 +18,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, functions as F
 
 from machinepulse.llm.common import stored
+from machinepulse.operators.reduction import may_match
 
 # All of ASCII but digits and letters separates words.
 _SEPARATORS = "".join(
@@ -201,10 +202,17 @@ def _verified(texts: DataFrame, places: DataFrame, rarest: DataFrame) -> DataFra
         .select("id", "version", start.alias("start"), "sought")
         .distinct()
     )
-    begun = begun.withColumnsRenamed({"id": "id_", "version": "version_"})
+    begun = stored(begun.withColumnsRenamed({"id": "id_", "version": "version_"}), "candidates")
+    if begun.count() > BROADCAST_ROWS:
+        # Shuffled, but only the texts that have a candidate.
+        keys = begun.select(F.xxhash64("id_", "version_").alias("key")).distinct()
+        own = F.xxhash64("id", "version").alias("key")
+        texts = texts.withColumn("key", own).where(may_match(keys, ["key"])).drop("key")
+    else:
+        begun = F.broadcast(begun)
     length = F.size("sought")
     return (
-        texts.join(_small(begun), F.expr("version = version_ and id <=> id_"))
+        texts.join(begun, F.expr("version = version_ and id <=> id_"))
         .where(F.slice("words", F.col("start") + 1, length) == F.col("sought"))
         .select("id", "version", "start", length.alias("length"), F.col("sought").alias("words"))
         .distinct()
