@@ -13,26 +13,31 @@ n-grams. The boundary is where the counted subsets cost more than the lists.
 Only components are asked for, so a list of m near copies is not turned into
 m * m pairs. Each set is first compared with the pivot it shares most lists
 with. In lists whose members are then in several components, the sets outside
-the largest one are looked at again: all sets scan their inverted lists, which
-each task holds in blocks of bounded size. Where many blocks would be needed,
-further pivots first make such sets fewer; what these leave open is scanned too,
-in as many blocks as it takes. Pairs of open sets are never emitted.
+the largest one are looked at again: they are written, by size, in blocks of
+bounded length to the shared folder, and all sets whose size allows a link with
+a block scan its inverted lists, which each task reads from there. Where many
+blocks would be needed, further pivots first make such sets fewer; what these
+leave open is scanned too, in as many blocks as it takes. Pairs of open sets are
+never emitted, and no n-gram passes through the driver.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from machinepulse.llm.common import bounded_batches, handing_back, partitions, stored
+from machinepulse.llm.common import bounded_batches, handing_back, partitions, scratch, stored
 from machinepulse.llm.components import connected_components
 
 # Rows of (id) up to which the sets still of interest are repeated on every
@@ -40,8 +45,9 @@ from machinepulse.llm.components import connected_components
 BROADCAST_ROWS = 1_000_000
 # Sizes above this never enumerate subsets, whatever the costs.
 _LARGEST_LIGHT = 24
-# N-grams of the sets that one scan holds in every task (24 MB), and the number
-# of scans above which pivots are to make such sets fewer first.
+# N-grams of the sets that one scan holds in every task (36 MB with their
+# owners; more only where one set has more), and the number of scans above which
+# pivots are to make such sets fewer first.
 _SCAN_GRAMS = 3_000_000
 _MOST_SCANS = 24
 # Sets in a partition of a scan, a few MB.
@@ -285,9 +291,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             labelled = sets.join(members, "node", "left").select(
                 "n", "grams", F.coalesce("component", "node").alias("component")
             )
-            labelled = stored(labelled.coalesce(partitions(sets.count(), _SETS)), "labelled")
-            for scan in range(scans):
-                block = outside.where(F.pmod(F.xxhash64("node"), F.lit(scans)) == scan)
+            labelled = labelled.coalesce(partitions(sets.count(), _SETS))
+            # Sorted, so that a scan skips pages of sizes which no block member can link with.
+            labelled = stored(labelled.sortWithinPartitions("n"), "labelled")
+            for block in _blocks(outside, scans):
                 links = links.unionByName(stored(_scanned(labelled, block, percent), "links"))
             return stored(connected_components(links), "components")
         count = max(1, min(_MOST_PIVOTS, total // rows))
@@ -493,26 +500,109 @@ def _outsiders(unsettled: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     return sets.select("node", "n", "grams").join(nodes, "node")
 
 
-def _scanned(labelled: DataFrame, block: DataFrame, percent: int) -> DataFrame:
-    """(a, b): components that a link joins, from every set scanning the inverted lists of a block.
+def _blocks(outside: DataFrame, parts: int) -> list[list]:
+    """The sets of outside as files in the shared folder, grouped into blocks of neighbouring sizes.
 
-    The lists of the block's n-grams are sorted arrays in every task. What a
-    set finds in them gives its overlap with each set of the block. A task
-    reports a link only if it joins two components it has not joined yet, so it
-    reports fewer than there are components in the block.
+    Each block is a list of rows (path, n_grams, least, most), least and most
+    being sizes of sets. Neither a file nor a block has more than _SCAN_GRAMS
+    n-grams, unless one set alone has. Only these rows come to the driver.
+    """
+    pieces = stored(
+        outside.repartitionByRange(parts, "n", "node")
+        .sortWithinPartitions("n", "node")
+        .mapInArrow(
+            handing_back(_piece_writer(scratch(outside.sparkSession, "blocks"), _SCAN_GRAMS)),
+            "path string, n_grams long, least long, most long",
+        ),
+        "pieces",
+    )
+    blocks, total = [], 0
+    for piece in sorted(pieces.collect(), key=lambda r: (r.least, r.most, r.path)):
+        if not blocks or total + piece.n_grams > _SCAN_GRAMS:
+            blocks.append([])
+            total = 0
+        blocks[-1].append(piece)
+        total += piece.n_grams
+    return blocks
+
+
+def _piece_writer(folder: str, limit: int) -> Callable:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = arrow_fs.FileSystem.from_uri(folder)
+        held, sizes = [], []
+
+        def finished() -> pa.RecordBatch:
+            # A new name for each attempt; only those of finished attempts are listed.
+            name = f"{uuid.uuid4().hex}.arrow"
+            store.create_dir(root, recursive=True)
+            with (
+                store.open_output_stream(f"{root}/{name}", compression=None) as out,
+                pa.ipc.new_stream(out, held[0].schema) as stream,
+            ):
+                for rows in held:
+                    stream.write_batch(rows)
+            row = (f"{folder}/{name}", sum(sizes), min(sizes), max(sizes))
+            return pa.record_batch(
+                [pa.array([v]) for v in row], names=["path", "n_grams", "least", "most"]
+            )
+
+        for batch in batches:
+            start, total = 0, sum(sizes)
+            for row, n in enumerate(batch.column("n").to_pylist()):
+                if sizes and total + n > limit:
+                    held.append(batch.slice(start, row - start))
+                    yield finished()
+                    held, sizes, start, total = [], [], row, 0
+                sizes.append(n)
+                total += n
+            held.append(batch.slice(start))
+        if sizes:
+            yield finished()
+
+    return write
+
+
+@lru_cache(maxsize=1)
+def _inverted(paths: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted n-grams, the set each is of, and the sizes and components of the sets.
+
+    A worker keeps those of the last block, for its next task of the same scan.
     """
-    found = block.toArrow()
+    tables = []
+    for path in paths:
+        store, name = arrow_fs.FileSystem.from_uri(path)
+        with store.open_input_stream(name, compression=None) as source:
+            tables.append(pa.ipc.open_stream(source).read_all())
+    found = pa.concat_tables(tables)
     sizes = found.column("n").to_numpy()
-    grams = found.column("grams").combine_chunks().flatten().to_numpy()
+    grams = np.concatenate([c.flatten().to_numpy() for c in found.column("grams").chunks])
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     order = np.argsort(grams, kind="stable")
-    spark = labelled.sparkSession
-    lists = spark.sparkContext.broadcast(
-        (grams[order], owner[order], sizes, found.column("component").to_numpy())
-    )
+    return grams[order], owner[order], sizes, found.column("component").to_numpy()
+
+
+def _overlaps(owners: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of count sets occur among owners, and how often each."""
+    if 8 * len(owners) < count:
+        return np.unique(owners, return_counts=True)
+    both = np.bincount(owners, minlength=count)
+    present = np.flatnonzero(both)
+    return present, both[present]
+
+
+def _scanned(labelled: DataFrame, block: list, percent: int) -> DataFrame:
+    """(a, b): components that a link joins, from sets scanning the inverted lists of a block.
+
+    The lists of the block's n-grams are sorted arrays in every task. What a
+    set finds in them gives its overlap with each set of the block. Sets that
+    are too small or too large for all of the block are not read. A task
+    reports a link only if it joins two components it has not joined yet, so it
+    reports fewer than there are components in the block.
+    """
+    paths = tuple(piece.path for piece in block)
+    least, most = min(piece.least for piece in block), max(piece.most for piece in block)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, owner, sizes, component = lists.value
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -521,6 +611,7 @@ def _scanned(labelled: DataFrame, block: DataFrame, percent: int) -> DataFrame:
             return x
 
         for batch in batches:
+            grams, owner, sizes, component = _inverted(paths)
             column = batch.column("grams")
             values, ends = column.flatten().to_numpy(), np.cumsum(batch.column("n").to_numpy())
             joined = []
@@ -535,8 +626,8 @@ def _scanned(labelled: DataFrame, block: DataFrame, percent: int) -> DataFrame:
                     continue
                 # The places of all entries of these lists, one after the other.
                 places = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many)
-                both = np.bincount(owner[places + np.arange(len(places))], minlength=len(sizes))
-                linked = (100 + percent) * both >= percent * (sizes + n)
+                met, both = _overlaps(owner[places + np.arange(len(places))], len(sizes))
+                linked = met[(100 + percent) * both >= percent * (sizes[met] + n)]
                 for other in np.unique(component[linked]).tolist():
                     a, b = top(own), top(other)
                     if a != b:
@@ -548,7 +639,9 @@ def _scanned(labelled: DataFrame, block: DataFrame, percent: int) -> DataFrame:
                     [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
                 )
 
-    return labelled.select("component", "n", "grams").mapInArrow(handing_back(scan), "a long, b long")
+    # A linked pair's smaller set has at least percent of the larger one's size.
+    able = labelled.where(F.col("n").between(-(-percent * least // 100), 100 * most // percent))
+    return able.select("component", "n", "grams").mapInArrow(handing_back(scan), "a long, b long")
 
 
 def _pivots(unsettled: DataFrame, count: int, turn: int) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from machinepulse.llm import ngram_join
@@ -112,6 +113,35 @@ def test_open_sets_are_scanned_at_every_size(spark, monkeypatch):
     assert calls["_linked"] == 1 and calls["_scanned"] > 1
 
 
+def test_blocks_are_bounded_and_hold_every_set_once(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, n := rng.randint(1, 90), list(range(n)), k % 7) for k in range(300)]
+    rows.append((300, 2_000, list(range(2_000)), 1))
+    outside = spark.createDataFrame(rows, "node long, n long, grams array<long>, component long")
+    monkeypatch.setattr(ngram_join, "_SCAN_GRAMS", 500)
+    blocks = ngram_join._blocks(outside, 4)
+    assert len(blocks) > 20
+    sizes, edges = [], []
+    for block in blocks:
+        grams, owner, n, component = ngram_join._inverted(tuple(piece.path for piece in block))
+        assert len(grams) == len(owner) == n.sum() and len(component) == len(n)
+        assert len(grams) <= 500 or len(n) == 1
+        assert (grams[1:] >= grams[:-1]).all()
+        assert min(p.least for p in block) == n.min() and max(p.most for p in block) == n.max()
+        sizes += n.tolist()
+        edges.append((n.min(), n.max()))
+    assert sorted(sizes) == sorted(r[1] for r in rows)
+    # Neighbouring sizes share a block, so a set has to scan few of them.
+    assert all(high <= low for (_, high), (low, _) in zip(edges, edges[1:]))
+    assert ngram_join._blocks(outside.limit(0), 4) == []
+
+
+def test_overlaps_of_few_and_of_many_sets():
+    for count in (3, 5_000):
+        met, both = ngram_join._overlaps(np.array([2, 0, 2], np.int32), count)
+        assert (met.tolist(), both.tolist()) == ([0, 2], [1, 2])
+
+
 def test_edges_of_the_contract(spark):
     eleven = [f"v{k}" for k in range(14)]  # 10 shingles
     rows = [
